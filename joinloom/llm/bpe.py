@@ -224,7 +224,8 @@ class Coder:
             self.vocabulary[rank] = piece
         self.sizes = np.array([len(x) for x in self.vocabulary], np.int64)
         self.most = most
-        self.cache: dict[bytes, tuple[int, ...]] = {}
+        self.names = list(map(str, range(len(self.vocabulary))))
+        self.cache: dict[bytes, int] = {}
 
         self.bytes_of = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
         pairs = {}
@@ -289,14 +290,22 @@ class Coder:
             rank[last] = NEVER
         return [done[i] for i in range(len(parts))]
 
-    def encode_pieces(self, parts: list[bytes]) -> list[tuple[int, ...]]:
+    def rows_of(self, parts: list[bytes]) -> np.ndarray:
+        """The row of each piece in the cached ids (``flat`` from ``begin[row]`` to ``begin[row + 1]``)."""
+        if len(self.cache) > self.most:
+            self.cache = {}
         cache = self.cache
-        if len(cache) > self.most:
-            cache.clear()
         new = list(set(parts).difference(cache))
         if new:
-            cache.update(zip(new, self.merge_many(new), strict=True))
-        return list(map(cache.__getitem__, parts))
+            found = self.merge_many(new)
+            old = len(cache)
+            if not old:
+                self.begin, self.flat = np.zeros(1, np.int64), np.zeros(0, np.int32)
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            self.begin = np.concatenate((self.begin, self.begin[-1] + np.cumsum(sizes)))
+            self.flat = np.concatenate((self.flat, np.fromiter(itertools.chain.from_iterable(found), np.int32, int(sizes.sum()))))
+            cache.update(zip(new, range(old, old + len(new)), strict=True))
+        return np.fromiter(map(cache.__getitem__, parts), np.int64, len(parts))
 
     def encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents of UTF-8 text, one after another, and each document's offsets in them."""
@@ -311,10 +320,11 @@ class Coder:
         first[begins] = True
         starts = np.flatnonzero(token_starts(points, first[:-1]))
         cuts = np.append(lead[starts], len(data)).tolist()
-        found = self.encode_pieces([raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)])
-        lengths = np.zeros(len(found) + 1, np.int64)
-        np.cumsum(np.fromiter(map(len, found), np.int64, len(found)), out=lengths[1:])
-        ids = np.fromiter(itertools.chain.from_iterable(found), np.int32, int(lengths[-1]))
+        rows = self.rows_of([raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)])
+        sizes = self.begin[rows + 1] - self.begin[rows]
+        lengths = np.zeros(len(rows) + 1, np.int64)
+        np.cumsum(sizes, out=lengths[1:])
+        ids = self.flat[np.arange(lengths[-1]) + np.repeat(self.begin[rows] - lengths[:-1], sizes)]
         return ids, lengths[np.searchsorted(starts, begins)]
 
     def decode(self, ids: np.ndarray) -> bytes:
@@ -352,7 +362,7 @@ def _encode(batches: Iterator[pa.RecordBatch], name: str, text: str, keep: list[
                 upto = np.concatenate(([0], np.cumsum(code.sizes[ids])))
                 made["token_ends"] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(upto[1:] - np.repeat(upto[ends[:-1]], np.diff(ends))))
             if "ids_sha256" in want:
-                made["ids_sha256"] = pa.array([hashlib.sha256(" ".join(map(str, ids[a:b].tolist())).encode()).hexdigest() for a, b in zip(ends, ends[1:], strict=False)])
+                made["ids_sha256"] = pa.array([hashlib.sha256(" ".join(map(code.names.__getitem__, ids[a:b].tolist())).encode()).hexdigest() for a, b in zip(ends, ends[1:], strict=False)])
             if "decoded_sha256" in want:
                 made["decoded_sha256"] = pa.array([hashlib.sha256(code.decode(ids[a:b])).hexdigest() for a, b in zip(ends, ends[1:], strict=False)])
             part = batch.slice(i, j - i)
