@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from .bpe import op2_bpe
 from .secrets import op5_secrets
+from .warc import op3_warc
 
 
 def queries() -> dict:
-    return {"op2_bpe": op2_bpe, "op5_secrets": op5_secrets}
+    return {"op2_bpe": op2_bpe, "op3_warc": op3_warc, "op5_secrets": op5_secrets}
 
 
 def oracle_sql() -> dict[str, str]:
