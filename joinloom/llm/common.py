@@ -92,7 +92,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     _, at, data = column.buffers()
     at = np.frombuffer(at, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
     data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
-    return data, at
+    return data[at[0] : at[-1]], at - at[0]
 
 
 def pieces(at: np.ndarray, limit: int = PIECE_BYTES) -> Iterator[tuple[int, int]]:

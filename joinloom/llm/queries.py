@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from .bpe import op2_bpe
+from .chat import op6_chat
 from .secrets import op5_secrets
 from .warc import op3_warc
 
 
 def queries() -> dict:
-    return {"op2_bpe": op2_bpe, "op3_warc": op3_warc, "op5_secrets": op5_secrets}
+    return {"op2_bpe": op2_bpe, "op3_warc": op3_warc, "op5_secrets": op5_secrets, "op6_chat": op6_chat}
 
 
 def oracle_sql() -> dict[str, str]:
