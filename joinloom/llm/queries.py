@@ -4,12 +4,21 @@ from __future__ import annotations
 
 from .bpe import op2_bpe
 from .chat import op6_chat
+from .language import op9_language
+from .quality import op4_quality
 from .secrets import op5_secrets
 from .warc import op3_warc
 
 
 def queries() -> dict:
-    return {"op2_bpe": op2_bpe, "op3_warc": op3_warc, "op5_secrets": op5_secrets, "op6_chat": op6_chat}
+    return {
+        "op2_bpe": op2_bpe,
+        "op3_warc": op3_warc,
+        "op4_quality": op4_quality,
+        "op5_secrets": op5_secrets,
+        "op6_chat": op6_chat,
+        "op9_language": op9_language,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
