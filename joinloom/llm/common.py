@@ -163,6 +163,7 @@ class Hashes:
 
 def words_of(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of each word, and the number of the first word of each document (and of the end)."""
+    at = at - at[0]
     full = ~_SPACE[data]
     first = np.zeros(len(data) + 1, bool)
     first[at] = True

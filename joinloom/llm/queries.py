@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from .bpe import op2_bpe
 from .chat import op6_chat
+from .embeddings import op8_embeddings
 from .language import op9_language
+from .minhash import op1_minhash
+from .mixing import op10_mixing
 from .quality import op4_quality
 from .secrets import op5_secrets
 from .warc import op3_warc
@@ -12,12 +15,15 @@ from .warc import op3_warc
 
 def queries() -> dict:
     return {
+        "op1_minhash": op1_minhash,
         "op2_bpe": op2_bpe,
         "op3_warc": op3_warc,
         "op4_quality": op4_quality,
         "op5_secrets": op5_secrets,
         "op6_chat": op6_chat,
+        "op8_embeddings": op8_embeddings,
         "op9_language": op9_language,
+        "op10_mixing": op10_mixing,
     }
 
 
