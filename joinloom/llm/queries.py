@@ -10,6 +10,7 @@ from .minhash import op1_minhash
 from .mixing import op10_mixing
 from .quality import op4_quality
 from .secrets import op5_secrets
+from .substrings import op7_substrings
 from .warc import op3_warc
 
 
@@ -21,6 +22,7 @@ def queries() -> dict:
         "op4_quality": op4_quality,
         "op5_secrets": op5_secrets,
         "op6_chat": op6_chat,
+        "op7_substrings": op7_substrings,
         "op8_embeddings": op8_embeddings,
         "op9_language": op9_language,
         "op10_mixing": op10_mixing,
