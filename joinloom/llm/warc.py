@@ -39,9 +39,9 @@ RECORD = T.StructType([
 ])
 
 
-def base32_sha1(data: Column) -> Column:
-    """Upper-case base32 of the SHA-1 of ``data``: 20 bits of hex are four characters."""
-    digest, letters = F.sha1(data), F.lit(BASE32)
+def base32(digest: Column) -> Column:
+    """Upper-case base32 of a hexadecimal SHA-1 (a plain column, it is used often): 20 bits are four characters."""
+    letters = F.lit(BASE32)
     out = []
     for k in range(8):
         v = F.conv(F.substring(digest, 5 * k + 1, 5), 16, 10).cast("int")
@@ -56,6 +56,11 @@ def _record(kind: str, fields: list[tuple[str, Column]], block: Column) -> Colum
     return F.concat(*head, F.lit("Content-Length: "), F.octet_length(block).cast("string"), F.lit(CRLF * 2), block)
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _one_line(c: Column) -> Column:
     return F.regexp_replace(c, r"[\r\n]+", " ")
 
@@ -63,9 +68,10 @@ def _one_line(c: Column) -> Column:
 def write(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html") -> None:
     """Archives of ``pages`` in folder ``path``."""
     text = F.coalesce(F.col(html), F.lit(""))
-    rows = pages.select(F.col(page_id).alias("page_id"), _one_line(F.col(url)).alias("url"), text.alias("html")).withColumn("digest", base32_sha1(F.col("html").cast("binary")))
-    roles = rows.groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n"))
-    rows = with_hot_keys(rows, roles, "digest", "n").withColumn("request", F.expr("uuid()"))
+    rows = pages.select(F.col(page_id).alias("page_id"), _one_line(F.col(url)).alias("url"), text.alias("html")).withColumn("sha", F.sha1(F.col("html").cast("binary")))
+    roles = rows.groupBy("sha").agg(F.max("page_id").alias("last"), F.count("*").alias("n"))
+    rows = with_hot_keys(rows, roles, "sha", "n").withColumn("request", F.expr("uuid()"))
+    rows = rows.withColumn("digest", _let(F.col("sha"), base32))
     uuid_of = lambda c: F.concat(F.lit("<urn:uuid:"), c, F.lit(">"))
     page_of = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(":"), F.col("digest"), F.lit(">"))
     size = F.octet_length("html").cast("string")
@@ -184,13 +190,12 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(_read, RECORD)
 
 
-def assemble(records: DataFrame) -> DataFrame:
+def assemble(records: DataFrame, fields: tuple[str, ...] = tuple(n for n in RECORD.names if n != "type")) -> DataFrame:
     """One nested row a capture: request, response (or revisit) and metadata joined through concurrent-to.
 
-    A record that names no other is the hub of its own transaction.  Only the columns that a query asks for are
-    aggregated; payloads travel only if it asks for them.
+    A record that names no other is the hub of its own transaction.  ``fields`` are those nested in each part; a caller
+    that needs no payloads leaves them out, and they don't travel.
     """
-    fields = [n for n in RECORD.names if n != "type"]
     is_ = {"request": F.col("type") == "request", "response": F.col("type").isin("response", "revisit"), "metadata": F.col("type") == "metadata"}
     parts = records.withColumn("transaction", F.coalesce("concurrent_to", "record_id")).groupBy("transaction").agg(
         *[F.max(F.when(test, F.col(n))).alias(f"{part}_{n}") for part, test in is_.items() for n in fields], F.max(F.when(is_["response"], F.col("type"))).alias("response_type")
@@ -205,7 +210,7 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "warc")
     write(read_table(spark, sf_dir, "pages"), path)
     page = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+):", 1)
-    got = assemble(read(spark, path)).select(
+    got = assemble(read(spark, path), ("record_id", "refers_to", "payload_digest", "payload_bytes", "actual_digest")).select(
         page(F.col("response.record_id")).alias("page_id"), F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.type").alias("record_type"),
         F.coalesce("response.actual_digest", F.regexp_replace("response.payload_digest", "^sha1:", "")).alias("payload_digest"), page(F.col("response.refers_to")).alias("refers_to"),
     )
