@@ -1,7 +1,9 @@
 r"""Near-duplicate texts: improved consistent weighted sampling over TF-IDF shingles, banded, verified.
 
 Weights: a shingle of five words (``[^\x20\x09-\x0D]+``; a shorter text is one shingle) weighs its count in the text
-times its idf.  Document frequencies of all shingles of all documents are counted in a table of ``CELLS`` hashed cells;
+times its idf, 1 + ``DAMPING`` * ln((N + 1) / (df + 1)) / ln(N + 2).  It lies between 1 and 1 + DAMPING: an undamped idf
+would pull a large group of near copies apart, as what they share is frequent only because they share it, while each
+one's edits weigh most.  Document frequencies of all shingles of all documents are counted in a table of ``CELLS`` hashed cells;
 its size doesn't grow with the data, so it may be broadcast, and an estimate is never too low.
 
 1. One pass samples each text ``BANDS * ROWS`` times by improved consistent weighted sampling: with r, c ~ Gamma(2, 1)
@@ -25,6 +27,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -39,6 +42,7 @@ from .components import components
 
 SHINGLE = 5
 SIMILARITY = 0.8
+DAMPING = 0.2
 BANDS, ROWS = 10, 3
 DRAWS = BANDS * ROWS
 AGREE = 15
@@ -123,13 +127,13 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def idf_table(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """1 + ln((N + 1) / (df + 1)) by cell, over all documents."""
+    """The idf by cell, over all documents."""
     sums = docs.select(text).mapInArrow(_count, _COUNTED).repartition(PARTS, "part").mapInArrow(_add, _COUNTED).collect()
     table, n = np.zeros((PARTS, CELLS // PARTS)), 0
     for part, docs_, packed in sums:
         table[part] = np.frombuffer(zlib.decompress(packed), np.int64)
         n += docs_
-    return (1 + np.log((n + 1) / (table.reshape(-1) + 1)).clip(0)).astype(np.float32)
+    return (1 + DAMPING * (np.log((n + 1) / (table.reshape(-1) + 1)).clip(0) / math.log(n + 2))).astype(np.float32)
 
 
 # --- sampling -------------------------------------------------------------------------------------------------
