@@ -216,3 +216,16 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise(ASSISTANT).alias("role"), F.lit(EXAMPLE).alias("text"))
     return format_chats(rows.unionByName(extra)).mapInArrow(_read_back, DIGESTS)
+
+
+#: Every role in the table is lower case and needs no escape.
+ORACLE = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, t, r, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) x(t, r))
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
+  sum(14 + length(role) + length(text) + length(text) - length(replace(replace(text, '\', ''), '#', '')) + (length(text) - length(replace(text, '</turn>', ''))) // 7)::BIGINT AS formatted_chars
+FROM c GROUP BY conv_id
+"""

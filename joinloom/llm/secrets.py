@@ -276,11 +276,3 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return find_secrets(docs).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_random")
 
-
-ORACLE = r"""
-SELECT doc_id,
-  len(list_filter(regexp_extract_all(coalesce(text, ''), '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), x -> length(x) >= 8)) AS n_assign,
-  len(list_filter(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+'), x -> length(x) >= 16)) AS n_access,
-  len(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9a-f]+'), x -> length(x) >= 32)) AS n_hex
-FROM documents
-"""

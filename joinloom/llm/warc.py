@@ -216,3 +216,14 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     number = lambda c: F.when(F.col(c) != "", F.col(c).cast("long"))
     return got.select(number("page_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.when(F.col("record_type") == "revisit", number("refers_to")).alias("refers_to"))
+
+
+ORACLE = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS d FROM pages),
+m AS (SELECT page_id, h, d, max(page_id) OVER (PARTITION BY d) AS last FROM p)
+SELECT page_id, octet_length(encode(h))::BIGINT AS payload_bytes,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((list_sum([(instr('0123456789abcdef', substr(d, 5 * (i // 4) + j + 1, 1)) - 1) * (1 << (16 - 4 * j)) for j in range(0, 5)])::BIGINT >> (15 - 5 * (i % 4))) % 32), 1) for i in range(0, 32)], '') AS payload_digest,
+  CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> last THEN last END AS refers_to
+FROM m
+"""
