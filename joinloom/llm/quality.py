@@ -8,7 +8,7 @@ The method fits a minimum-covariance-determinant estimate for each language and
 (log mean word length, roots of the shares of symbols, duplicate lines, repeated words and capitals).  It starts from
 medians and median absolute deviations; each concentration step takes the distances under the last estimate, their
 ``SUBSET`` quantile in each group and the mean and covariance of the documents below it.  Estimates are small tables
-written to the shared folder between steps; documents never move except as rows of a dozen numbers, and aggregates
+written to the shared folder between steps, so Spark knows their sizes and broadcasts those below its threshold; documents never move except as rows of a dozen numbers, and aggregates
 are partial before they shuffle, so a source with a third of all rows is no harder than any other.  ``FLOOR`` is added
 to the standard deviations: a statistic that is zero for nearly all documents of a group would make the covariance
 singular.  Sources with fewer than ``LEAST`` documents of a language are pooled by language; a pool that is still
@@ -116,7 +116,7 @@ def fit(stats: DataFrame) -> DataFrame:
     est = written(_inverse_root(start), "mcd-0")
     for step in range(1, STEPS + 1):
         far = stats.join(est, "grp").select("grp", *STATS, _distance().alias("d2"))
-        limit = far.groupBy("grp").agg(F.percentile_approx("d2", SUBSET, 1000).alias("limit"))
+        limit = written(far.groupBy("grp").agg(F.percentile_approx("d2", SUBSET, 1000).alias("limit")), f"mcd-limit-{step}")
         inner = far.join(limit, "grp").where(F.col("d2") <= F.col("limit"))
         sums = inner.groupBy("grp").agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(STATS)], *[F.covar_pop(STATS[i], STATS[j]).alias(f"q{i}{j}") for i in range(p) for j in range(i + 1)])
         shaped = sums.select("grp", *[f"m{i}" for i in range(p)], *[(F.col(f"q{i}{j}") * CONSISTENT + (FLOOR[i] ** 2 if i == j else 0.0)).alias(_cell(i, j)) for i in range(p) for j in range(i + 1)])
@@ -129,11 +129,11 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.to_json(F.struct(F.col(lang).alias("lang"))).alias("pool"), F.to_json(F.struct(F.col(lang).alias("lang"), F.col(source).alias("source"))).alias("own"))
     stats = written(counts(rows, "text", ("doc_id", "pool", "own")), "quality")
     # a group has at least LEAST documents, so the join with its estimate is small; Spark checks sizes before it broadcasts
-    small = stats.where(~F.col("base_failed")).groupBy("own").agg(F.count("*").alias("n_own"))
+    small = written(stats.where(~F.col("base_failed")).groupBy("own").agg(F.count("*").alias("n_own")), "quality-sources")
     stats = written(stats.join(small, "own", "left").withColumn("grp", F.when(F.col("n_own") >= LEAST, F.col("own")).otherwise(F.concat(F.lit("pool "), F.col("pool")))).drop("own", "pool", "n_own"), "quality-groups")
     fitted = stats.where(~F.col("base_failed"))
     enough = fitted.groupBy("grp").agg(F.count("*").alias("n_grp")).where(F.col("n_grp") >= LEAST)
-    est = fit(fitted).join(enough, "grp")
+    est = written(fit(fitted).join(enough, "grp"), "mcd")
     judged = stats.join(est, "grp", "left").withColumn("d2", _distance())
     return judged.withColumn("kept", ~F.col("base_failed") & (F.coalesce("d2", F.lit(0.0)) <= CUTOFF))
 
