@@ -21,7 +21,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     model = language.fit(docs)
     if not model.languages:
         return docs
-    found = language.predict(docs.withColumn("jl_text", F.col("text")), model, "jl_text")
+    found = language.predict(docs, model)
     return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select(*docs.columns)
 
 
