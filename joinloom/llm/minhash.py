@@ -6,17 +6,18 @@ would pull a large group of near copies apart, as what they share is frequent on
 one's edits weigh most.  Document frequencies of all shingles of all documents are counted in a table of ``CELLS`` hashed cells;
 its size doesn't grow with the data, so it may be broadcast, and an estimate is never too low.
 
-1. One pass samples each text ``BANDS * ROWS`` times by improved consistent weighted sampling: with r, c ~ Gamma(2, 1)
+1. One pass samples each text ``DRAWS`` times by improved consistent weighted sampling: with r, c ~ Gamma(2, 1)
    and beta uniform for each shingle and draw, t = floor(ln w / r + beta), ln a = ln c - r (t - beta + 1), and the
    sample is (shingle, t) of the least a; two texts agree in a draw with the probability of their weighted Jaccard.
 2. Equal texts are one class by digest; only its smallest doc_id goes on.
-3. A bucket (band of ``ROWS`` samples) is a sorted stream: a text is paired with each leader of its bucket that it
-   agrees with in at least ``AGREE`` of its samples, and leads itself if there is none.  Buckets of many texts are
-   salted; the salts' leaders meet in a second pass.  That is at most a few pairs a text, whatever the bucket's size.
+3. In a bucket (band of ``ROWS`` samples) the most central text leads and is paired with all that agree with it in at
+   least ``AGREE`` of their samples, then the most central of the rest, and so on.  Buckets of many texts are salted; the
+   salts' leaders meet in a second pass.  That is one pair a text and bucket at most, whatever the bucket's size.
 4. Pairs are verified by the weighted Jaccard of their whole texts (``SIMILARITY``); links give components.
 5. Buckets that still hold several components are taken again: every text outside the bucket's largest component is
-   compared with all texts of the bucket, and each pair across components that agrees well enough is verified too.  So a
-   link inside a bucket is lost only if its samples agree less than ``AGREE``.
+   compared with all texts of the bucket.  First its best pairs are verified, which joins most, then each pair across
+   components that agrees well enough, unless the weight of shingles that any other such text holds shows that it can't be similar (which settles the heavily
+   edited copies of a large group).  So a link inside a bucket is lost only if its samples agree less than ``AGREE``.
 
 Every shuffle is of digests, samples or of the texts of candidates; nothing is collected but the frequency table.
 Texts without a word (null, empty, white space) and rows with a null doc_id are never duplicates.  Rows that share a
@@ -44,8 +45,9 @@ SHINGLE = 5
 SIMILARITY = 0.8
 DAMPING = 0.2
 BANDS, ROWS = 10, 3
-DRAWS = BANDS * ROWS
-AGREE = 15
+#: The first BANDS * ROWS draws make the bands; all of them tell whether a pair is worth verifying.
+DRAWS = 120
+AGREE = 82
 CELL_BITS = 20
 CELLS = 1 << CELL_BITS
 PARTS = 16
@@ -181,11 +183,11 @@ def _sample(batches: Iterator[pa.RecordBatch], idf: np.ndarray) -> Iterator[pa.R
             own, ends = data[at[i] : at[j]], at[i : j + 1] - at[i]
             f, n, offsets = features(own, ends)
             got = sample(f, n * idf[_cells(f)], offsets)
-            bands = mix((got.reshape(-1, BANDS, ROWS) * factor).sum(2, dtype=_U) + np.arange(BANDS, dtype=_U)).view(np.int64)
+            bands = mix((got[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS) * factor).sum(2, dtype=_U) + np.arange(BANDS, dtype=_U)).view(np.int64)
             raw = own.tobytes()
             keep = np.flatnonzero(np.diff(offsets))
             digests = [hashlib.blake2b(raw[ends[k] : ends[k + 1]], digest_size=16).digest() for k in keep.tolist()]
-            small = (got[keep] >> _U(48)).astype(np.uint16)
+            small = (got[keep] >> _U(56)).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([
                 batch.column(0).slice(i, j - i).take(pa.array(keep)), pa.array(digests, pa.binary()), pa.array([x.tobytes() for x in small], pa.binary()),
                 pa.ListArray.from_arrays(pa.array(np.arange(0, len(keep) * BANDS + 1, BANDS), pa.int32()), pa.array(bands[keep].reshape(-1))),
@@ -199,7 +201,7 @@ _MET = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("key"
 
 
 def _signatures(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, DRAWS)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, DRAWS)
 
 
 class _Rows:
@@ -220,80 +222,197 @@ class _Rows:
         return out
 
 
-def _lead(batches: Iterator[pa.RecordBatch], members: bool) -> Iterator[pa.RecordBatch]:
-    """Rows (key, salt, id, samples) sorted by key and salt; salt -1: the bucket isn't salted."""
+def cluster(sig: np.ndarray) -> np.ndarray:
+    """The leader of each text of a bucket (its own row for leaders), the most central texts leading first.
+
+    Central is who agrees most with the others (in large buckets: with the commonest sample of each draw): a leader near
+    the middle of a group of near copies links to most of it, where an arbitrary one might link to none.
+    """
+    m = len(sig)
+    if m <= 48:
+        central = (sig[:, None, :] == sig[None, :, :]).sum((1, 2))
+    else:
+        central = np.zeros(m, np.int64)
+        for j in range(sig.shape[1]):
+            value, n = np.unique(sig[:, j], return_counts=True)
+            central += sig[:, j] == value[n.argmax()]
+    leader = np.full(m, -1)
+    for k in np.argsort(-central, kind="stable").tolist():
+        if leader[k] < 0:
+            near = (leader < 0) & ((sig == sig[k]).sum(1) >= AGREE)
+            leader[near] = k
+            leader[k] = k
+    return leader
+
+
+def _lead(batches: Iterator[pa.RecordBatch], members: bool, most: int = 2 * SALT) -> Iterator[pa.RecordBatch]:
+    """Rows (key, salt, id, samples) sorted by key and salt; salt -1: the bucket isn't salted.
+
+    A bucket is taken whole, or ``most`` texts at a time with the leaders so far, so memory is bounded.
+    """
     out = _Rows()
-    now, salted, waiting = None, False, None  # waiting: the first row of a bucket, told once a second one comes
-    ids: list[int] = []
-    leaders = np.zeros((0, DRAWS), np.uint16)
+    key, salt, rep = (np.zeros(0, np.int64) for _ in range(3))
+    sig, told = np.zeros((0, DRAWS), np.uint8), np.zeros(0, bool)  # told: came out as a member already
+
+    def take(i: int, j: int) -> np.ndarray:
+        leader = cluster(sig[i:j])
+        if members:
+            for k in range(i, j):
+                if not told[k]:
+                    out.rows.append((0, int(key[k]), int(rep[k]), None, sig[k].tobytes()))
+        for k in np.flatnonzero(leader != np.arange(j - i)).tolist():
+            out.rows.append((1, None, int(rep[i + leader[k]]), int(rep[i + k]), None))
+        return np.flatnonzero(leader == np.arange(j - i)) + i
+
+    def close(i: int, j: int) -> None:
+        if j - i > 1 or salt[i] >= 0:
+            leaders = take(i, j).tolist()
+            for k in leaders if salt[i] >= 0 else ():
+                out.rows.append((2, int(key[k]), int(rep[k]), None, sig[k].tobytes()))
+
     for batch in batches:
         if not len(batch):
             continue
-        key, salt, rep = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-        raw = batch.column(3).to_pylist()
-        sig = _signatures(batch.column(3))
-        for i in range(len(batch)):
-            at = (key[i], salt[i])
-            if at != now:
-                now, salted, ids, leaders, waiting = at, salt[i] >= 0, [int(rep[i])], sig[i : i + 1], (0, int(key[i]), int(rep[i]), None, raw[i])
-                if salted:
-                    out.rows.append((2, int(key[i]), int(rep[i]), None, raw[i]))
-                continue
-            if members:
-                if waiting:
-                    out.rows.append(waiting)
-                out.rows.append((0, int(key[i]), int(rep[i]), None, raw[i]))
-            waiting = None
-            near = np.flatnonzero((leaders == sig[i]).sum(1) >= AGREE)
-            for k in near.tolist():
-                if ids[k] != rep[i]:
-                    out.rows.append((1, None, ids[k], int(rep[i]), None))
-            if not len(near):
-                ids.append(int(rep[i]))
-                leaders = np.concatenate((leaders, sig[i : i + 1]))
-                if salted:
-                    out.rows.append((2, int(key[i]), int(rep[i]), None, raw[i]))
+        more = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
+        key, salt, rep = (np.concatenate(x) for x in zip((key, salt, rep), more, strict=True))
+        sig, told = np.concatenate((sig, _signatures(batch.column(3)))), np.concatenate((told, np.zeros(len(batch), bool)))
+        edge = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])))
+        full = np.flatnonzero((np.diff(edge) > 1) | (salt[edge[:-1]] >= 0))
+        for g in full.tolist():
+            close(int(edge[g]), int(edge[g + 1]))
             if out.full():
                 yield out.batch()
+        rest = np.arange(edge[-1], len(key))  # may go on in the next batch
+        if len(rest) > most:
+            rest = take(int(rest[0]), len(key))
+            told[rest] = True
+        key, salt, rep, sig, told = key[rest], salt[rest], rep[rest], sig[rest], told[rest]
+    if len(key):
+        close(0, len(key))
     if out.rows:
         yield out.batch()
 
 
-def _again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, chunk, asks, id, component, samples) sorted by key, chunk and asks first: pairs across components."""
+def _again(batches: Iterator[pa.RecordBatch], best: int) -> Iterator[pa.RecordBatch]:
+    """Rows (key, chunk, asks, id, component, samples, weight, shared) sorted by key, chunk and asks first.
+
+    Pairs across components that agree well enough and may be similar: no more than the smaller shared weight of the two can
+    be common to them.  ``best``: of each asking text only so many pairs, those that agree best; 0: all.
+    """
     out = _Rows()
     now = None
-    asking: list[tuple[int, int]] = []
-    sigs: list[np.ndarray] = []
-    block = None
+    asking: list[tuple] = []
+    block: tuple | None = None
+    top: np.ndarray | None = None  # best agreement and partner of each asking text
+    partner: np.ndarray | None = None
+
+    def tell() -> None:
+        if best and block is not None:
+            for k in np.flatnonzero(top.any(1)).tolist():
+                for other in partner[k][top[k] > 0].tolist():
+                    a, b = other, int(block[0][k])
+                    out.rows.append((1, None, min(a, b), max(a, b), None))
+
     for batch in batches:
         if not len(batch):
             continue
         key, chunk, asks, rep, comp = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
+        weight, shared = (batch.column(k).to_numpy(zero_copy_only=False) for k in (6, 7))
         sig = _signatures(batch.column(5))
         for i in range(len(batch)):
             at = (key[i], chunk[i])
             if at != now:
-                now, asking, sigs, block = at, [], [], None
+                tell()
+                now, asking, block = at, [], None
             if asks[i]:
-                asking.append((int(rep[i]), int(comp[i])))
-                sigs.append(sig[i])
+                asking.append((rep[i], comp[i], sig[i], weight[i], shared[i]))
                 continue
             if not asking:
                 continue
             if block is None:
-                block = np.stack(sigs)
-            for k in np.flatnonzero((block == sig[i]).sum(1) >= AGREE).tolist():
-                other, component = asking[k]
-                if component != comp[i]:
-                    a, b = int(rep[i]), other
-                    out.rows.append((1, None, min(a, b), max(a, b), None))
+                block = tuple(np.array(x) for x in zip(*asking, strict=True))
+                top, partner = (np.zeros((len(asking), max(1, best)), np.int64) for _ in range(2))
+            low = np.minimum(block[4], shared[i])
+            may = (block[1] != comp[i]) & (low >= (SIMILARITY - 1e-6) * (block[3] + weight[i] - low))
+            may = np.flatnonzero(may)
+            agree = (block[2][may] == sig[i]).sum(1)
+            if best:
+                least = top[may].argmin(1)
+                better = (agree >= AGREE) & (agree > top[may, least])
+                top[may[better], least[better]], partner[may[better], least[better]] = agree[better], rep[i]
+                continue
+            for k in may[agree >= AGREE].tolist():
+                a, b = int(rep[i]), int(block[0][k])
+                out.rows.append((1, None, min(a, b), max(a, b), None))
             if out.full():
                 yield out.batch()
+    tell()
     if out.rows:
         yield out.batch()
 
 
+# --- bounds ---------------------------------------------------------------------------------------------------
+
+FINE_BITS = 22
+_SEEN = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("packed", T.BinaryType())])
+_BOUND = T.StructType([T.StructField("id", T.LongType()), T.StructField("weight", T.DoubleType()), T.StructField("shared", T.DoubleType())])
+
+
+def _fine(f: np.ndarray) -> np.ndarray:
+    return (f >> _U(64 - FINE_BITS)).astype(np.int64)
+
+
+def _seen_rows(table: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in np.split(table, PARTS)], pa.binary())], names=_SEEN.names)
+
+
+def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each cell, in how many of the texts it occurs: 0, 1, or 2 and more."""
+    table = np.zeros(1 << FINE_BITS, np.uint8)
+    some = False
+    for batch in batches:
+        data, at = utf8(batch.column(0))
+        for i, j in pieces(at):
+            cells, n = np.unique(_fine(features(data[at[i] : at[j]], at[i : j + 1])[0]), return_counts=True)
+            table[cells] = np.minimum(2, table[cells] + np.minimum(n, 2)).astype(np.uint8)
+            some = True
+    if some:
+        yield _seen_rows(table)
+
+
+def _seen_add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for part, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            x = np.frombuffer(zlib.decompress(packed), np.uint8)
+            sums[part] = np.minimum(sums[part] + x, 2) if part in sums else x
+    if sums:
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in sums.values()], pa.binary())], names=_SEEN.names)
+
+
+def _bound(batches: Iterator[pa.RecordBatch], twice: np.ndarray, idf: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        data, at = utf8(batch.column(1))
+        for i, j in pieces(at):
+            f, n, offsets = features(data[at[i] : at[j]], at[i : j + 1])
+            w = n * idf[_cells(f)].astype(np.float64)
+            sums = [np.concatenate(([0.0], np.cumsum(x))) for x in (w, np.where(twice[_fine(f)], w, 0.0))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *[pa.array(x[offsets[1:]] - x[offsets[:-1]]) for x in sums]], names=_BOUND.names)
+
+
+def _bounds(texts: DataFrame, idf) -> DataFrame:
+    """Per id the weight of its shingles, and of those that another of the texts may hold too.
+
+    Shingles are looked up in a table of 2 ** FINE_BITS cells, a fixed size; a collision makes a bound too high, never too low.
+    """
+    seen = texts.select("text").mapInArrow(_seen, _SEEN).repartition(PARTS, "part").mapInArrow(_seen_add, _SEEN).collect()
+    table = np.zeros((PARTS, (1 << FINE_BITS) // PARTS), np.uint8)
+    for part, packed in seen:
+        table[part] = np.frombuffer(zlib.decompress(packed), np.uint8)
+    twice = texts.sparkSession.sparkContext.broadcast(table.reshape(-1) >= 2)
+    return texts.select("id", "text").mapInArrow(lambda it: _bound(it, twice.value, idf.value), _BOUND)
+
+
 # --- verification ---------------------------------------------------------------------------------------------
 
 _LINK = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("similarity", T.DoubleType())])
@@ -361,17 +480,24 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     links = written(_links(pairs, texts, idf), "links")
     roots = components(links.select("a", "b"))
 
-    placed = member.join(roots.withColumnRenamed("v", "id"), "id", "left").withColumn("comp", F.coalesce("root", "id")).select("key", "id", "comp", "samples")
-    parts = placed.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    mixed = parts.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("n_main")).where(F.col("n") > F.col("n_main"))
-    mixed = written(mixed.withColumn("chunks", F.ceil((F.col("n") - F.col("n_main")) / 2048).cast("int")), "mixed")
-    apart = with_hot_keys(placed, mixed, "key", "n")
-    asks = apart.where(F.col("comp") != F.col("main")).select("key", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("chunk"), F.lit(True).alias("asks"), "id", "comp", "samples")
-    told = apart.select("key", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(False).alias("asks"), "id", "comp", "samples")
-    more = asks.unionByName(told).repartition("key", "chunk").sortWithinPartitions("key", "chunk", F.desc("asks")).mapInArrow(_again, _MET)
-    more = written(more.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
-    links = links.unionByName(written(_links(more, texts, idf), "links"))
-    roots = components(links.select("a", "b"))
+    bounds = None
+    for best in (1, 16, 0):  # most of what is left joins by its best pairs; then all pairs across components
+        placed = member.join(roots.withColumnRenamed("v", "id"), "id", "left").withColumn("comp", F.coalesce("root", "id")).select("key", "id", "comp", "samples")
+        parts = placed.groupBy("key", "comp").agg(F.count("*").alias("n"))
+        mixed = parts.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("n_main")).where(F.col("n") > F.col("n_main"))
+        mixed = written(mixed.withColumn("chunks", F.ceil((F.col("n") - F.col("n_main")) / 2048).cast("int")), "mixed")
+        apart = written(with_hot_keys(placed, mixed, "key", "n"), "apart")
+        if bounds is None:
+            bounds = written(_bounds(texts.join(apart.select("id").distinct(), "id", "left_semi"), idf), "bounds")
+        apart = apart.join(bounds, "id")
+        rest = ("id", "comp", "samples", "weight", "shared")
+        asks = apart.where(F.col("comp") != F.col("main")).select("key", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("chunk"), F.lit(True).alias("asks"), *rest)
+        told = apart.select("key", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(False).alias("asks"), *rest)
+        dealt = asks.unionByName(told).repartition("key", "chunk").sortWithinPartitions("key", "chunk", F.desc("asks"))
+        more = written(dealt.mapInArrow(lambda it, best=best: _again(it, best), _MET).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
+        pairs = pairs.unionByName(more)
+        links = links.unionByName(written(_links(more, texts, idf), "links"))
+        roots = components(links.select("a", "b"))
 
     final = written(reps.select("digest", "id", "n").join(roots.withColumnRenamed("v", "id"), "id", "left").select("digest", F.coalesce("root", "id").alias("class_id"), "n"), "classes")
     grouped = with_hot_keys(sampled.select("doc_id", "digest"), final, "digest", "n").groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
