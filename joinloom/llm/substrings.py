@@ -7,15 +7,16 @@ The ``SHORT``-byte strings inside a string of ``LENGTH`` bytes have a smallest h
 string are its anchors (about one in 35).  Equal strings have the same anchors at the same distances, so a string
 whose anchor is unique in the corpus is unique, and is dropped without a rank of its own.
 
-1. Anchors (rank of SHORT bytes, document, offset) are sorted by rank; those of a rank that occurs once go.
-2. Every start whose anchor is left is ranked at LENGTH: by its anchor's rank, its distance to the anchor and 32 bits of
-   its own hash.  The starts that share an anchor travel as one row, 4 bytes a start.  Sorted by rank and
+0. Documents that equal an earlier one are known by their digest: every start of theirs starts earlier.  They are
+   removed whole and take part no further.
+1. Anchors (rank of SHORT bytes, digest, offset) are sorted by rank; those of a rank that occurs at one place go.
+2. Every start whose anchor is left is ranked at LENGTH: by its anchor's rank, its distance to the anchor and its own
+   hash.  The starts that share an anchor travel as one row, 8 bytes a start.  Sorted by rank and
    position, the first of each rank in the stream is the earliest and all others are repeated: past the threshold,
    no rank is needed any longer.
 3. Repeated starts come back to their documents as runs; covered bytes are removed.
 
-Ranks are hashes: 96 bits name a string, so a wrong match needs a collision of the 64-bit rank and then of 32 more bits
-at the same distance.  Streams hold one batch and the ranks of one anchor.  Texts travel compressed.
+Ranks are hashes: 64 bits of an anchor's rank and 64 of its own name a string, 64 bits of a digest a whole text.  Streams hold one batch and the ranks of one anchor.  Texts travel compressed.
 
 Null texts count as empty; a null doc_id counts as the smallest number.  Rows that share a doc_id are one document given
 more than once (should their texts differ, the greatest stands for all): each gets that document's result.  Extra
@@ -34,10 +35,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Hashes, mix, pieces, read_table, ship, utf8, written
+from .common import Hashes, mix, pieces, read_table, ship, utf8, with_hot_keys, written
 
 LENGTH = 100
 SHORT = 32
+#: Bytes of a start's own hash that name it beside its anchor's rank and distance.
+NAME = 8
 _U = np.uint64
 _LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
 _OTHER_BASE = 0x9FB21C651E98DF25
@@ -73,13 +76,25 @@ def anchors(data: np.ndarray, at: np.ndarray, length: int = LENGTH, short: int =
 
 # --- step 1 ---------------------------------------------------------------------------------------------------
 
-_ANCHOR = T.StructType([T.StructField("rank", T.LongType()), T.StructField("doc", T.LongType()), T.StructField("off", T.IntegerType())])
+_ANCHOR = T.StructType([T.StructField("rank", T.LongType()), T.StructField("digest", T.LongType()), T.StructField("off", T.IntegerType())])
+_DIGEST = T.StructType([T.StructField("doc", T.LongType()), T.StructField("digest", T.LongType())])
+
+
+def _digests(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """64 bits of each text's digest."""
+    raw, cuts = memoryview(np.ascontiguousarray(data)), at.tolist()
+    return np.frombuffer(b"".join(hashlib.blake2b(raw[a:b], digest_size=8).digest() for a, b in zip(cuts, cuts[1:], strict=False)), np.int64)
+
+
+def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_digests(*utf8(batch.column(1))))], names=_DIGEST.names)
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        data, at = utf8(batch.column(1))
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
+        data, at = utf8(batch.column(0))
+        ids = _digests(data, at)
         for i, j in pieces(at):
             h, _, marks = anchors(data[at[i] : at[j]], at[i : j + 1])
             where = np.flatnonzero(marks)
@@ -90,23 +105,23 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by rank: those whose rank occurs twice or more."""
-    held: pa.RecordBatch | None = None  # the last row so far, told apart by its successor
-    same = False  # whether it equals its predecessor
-    for batch in batches:
+    """Rows sorted by rank, digest and offset: those whose rank occurs at two places or more; copies are one place."""
+    held: pa.RecordBatch | None = None  # the last row so far
+    same = False  # whether its rank has been seen at another place
+    for whole in batches:
+        batch = whole if held is None else pa.Table.from_batches([held, whole]).combine_chunks().to_batches()[0]
         if not len(batch):
             continue
-        rank = batch.column(0).to_numpy()
+        rank, digest, off = (batch.column(k).to_numpy() for k in range(3))
         twin = rank[1:] == rank[:-1]
-        first = held is not None and held.column(0)[0].as_py() == rank[0]
-        if held is not None and (same or first):
-            yield held
-        keep = np.zeros(len(rank), bool)
-        keep[:-1] |= twin
-        keep[1:] |= twin
-        keep[0] |= first
-        same = bool(keep[-1])
+        apart = twin & ((digest[1:] != digest[:-1]) | (off[1:] != off[:-1]))
+        start = np.flatnonzero(np.append(True, ~twin))
+        many = np.add.reduceat(np.append(apart, False).astype(np.int64), start) > 0
+        many[0] |= same
+        keep = np.repeat(many, np.diff(np.append(start, len(rank))))
+        same = bool(many[-1])
         held = batch.slice(len(batch) - 1)
+        # rows of the last rank before its second place is seen are held back by their digest: one place, one row
         keep[-1] = False
         if keep.any():
             yield batch.filter(pa.array(keep))
@@ -121,38 +136,38 @@ _RUN = T.StructType([T.StructField("doc", T.LongType()), T.StructField("start",
 
 
 def _rank(batches: Iterator[pa.RecordBatch], length: int = LENGTH, short: int = SHORT) -> Iterator[pa.RecordBatch]:
-    """Rows (doc, packed text, size, ranks that repeat): its starts with such an anchor, one row an anchor."""
+    """Rows (doc, packed text, size, ranks that repeat): the starts with such an anchor, one row an anchor."""
     for whole in batches:
-        for lo in range(0, len(whole), 200):
-            batch = whole.slice(lo, 200)
-            sizes = batch.column(2).to_pylist()
-            for raw, size, doc, ranks in zip(batch.column(1), sizes, batch.column(0).to_pylist(), batch.column(3), strict=True):
-                data = np.frombuffer(pa.decompress(raw.as_buffer(), size, "zstd"), np.uint8)
-                at = np.array([0, size])
-                h, least, _ = anchors(data, at, length, short)
-                known = np.sort(np.asarray(ranks.values.to_numpy()).view(_U))
-                starts = np.flatnonzero(known[np.minimum(np.searchsorted(known, least), len(known) - 1)] == least)
-                if not len(starts):
-                    continue
-                # the leftmost position that holds the least hash: the next one from the start on
-                where = np.flatnonzero(np.isin(h, known))
-                by_hash = np.lexsort((where, h[where]))
-                key_h, key_w = h[where][by_hash], where[by_hash]
-                group = np.searchsorted(key_h, least[starts])
-                group_end = np.searchsorted(key_h, least[starts], "right")
-                single = group_end - group == 1
-                anchor = key_w[group]
-                for k in np.flatnonzero(~single).tolist():
-                    own = key_w[group[k] : group_end[k]]
-                    anchor[k] = own[np.searchsorted(own, starts[k])]
-                names = (Hashes(data, _OTHER_BASE).every(length) >> _U(32)).astype(np.uint32)[starts]
-                cut = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (starts[1:] != starts[:-1] + 1)))
-                end = np.append(cut[1:], len(starts))
-                raw_names = names.tobytes()
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(h[anchor[cut]].view(np.int64)), pa.array(np.full(len(cut), doc, np.int64)), pa.array(starts[cut].astype(np.int32)),
-                    pa.array((anchor[cut] - starts[cut]).astype(np.int32)), pa.array([raw_names[4 * a : 4 * b] for a, b in zip(cut.tolist(), end.tolist(), strict=True)], pa.binary()),
-                ], names=_RANKED.names)
+        bounds = np.concatenate(([0], np.cumsum(whole.column(2).to_numpy(zero_copy_only=False))))
+        for lo, hi in pieces(bounds):
+            batch = whole.slice(lo, hi - lo)
+            data = np.frombuffer(b"".join(pa.decompress(raw.as_buffer(), size, "zstd", asbytes=True) for raw, size in zip(batch.column(1), batch.column(2).to_pylist(), strict=True)), np.uint8)
+            at = bounds[lo : hi + 1] - bounds[lo]
+            h, least, marks = anchors(data, at, length, short)
+            known = np.unique(batch.column(3).flatten().to_numpy().view(_U))
+            if not len(least) or not len(known):
+                continue
+            # starts by runs of one least hash
+            change = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
+            group = np.minimum(np.searchsorted(known, least[change]), len(known) - 1)
+            group[known[group] != least[change]] = -1
+            group = np.repeat(group, np.diff(np.append(change, len(least))))
+            starts = np.flatnonzero(group >= 0)
+            if not len(starts):
+                continue
+            # the leftmost position that holds the least hash: the next one from the start on
+            where = np.flatnonzero(marks)
+            own = np.minimum(np.searchsorted(known, h[where]), len(known) - 1)
+            where, own = (x[known[own] == h[where]] for x in (where, own))
+            places = np.sort(own * len(data) + where)
+            anchor = places[np.searchsorted(places, group[starts] * len(data) + starts)] % len(data)
+            names = np.ascontiguousarray(Hashes(data, _OTHER_BASE).every(length)[starts].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :NAME])
+            cut = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (starts[1:] != starts[:-1] + 1)))
+            end = np.append(cut[1:], len(starts))
+            row = np.searchsorted(at, starts[cut], "right") - 1
+            raw_names = pa.Array.from_buffers(pa.binary(), len(cut), [None, pa.py_buffer(np.append(cut, len(starts)).astype(np.int32) * NAME), pa.py_buffer(names)])
+            rows = [pa.array(h[anchor[cut]].view(np.int64)), batch.column(0).take(pa.array(row)), pa.array((starts[cut] - at[row]).astype(np.int32)), pa.array((anchor[cut] - starts[cut]).astype(np.int32)), raw_names]
+            yield pa.RecordBatch.from_arrays(rows, names=_RANKED.names)
 
 
 def _later(batches: Iterator[pa.RecordBatch], length: int = LENGTH) -> Iterator[pa.RecordBatch]:
@@ -164,10 +179,10 @@ def _later(batches: Iterator[pa.RecordBatch], length: int = LENGTH) -> Iterator[
             rank = batch.column(0).to_numpy().view(_U)
             doc, off, before = (batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 2, 3))
             names, ends = utf8_binary(batch.column(4))
-            size = np.diff(ends) // 4
-            own = names.view(np.uint32).astype(_U)
+            size = np.diff(ends) // NAME
+            own = (names.reshape(-1, NAME).astype(_U) << (np.arange(NAME, dtype=_U) * _U(8))).sum(1, dtype=_U)
             row = np.repeat(np.arange(len(rank)), size)
-            step = np.arange(len(own)) - np.repeat(ends[:-1] // 4, size)
+            step = np.arange(len(own)) - np.repeat(ends[:-1] // NAME, size)
             key = mix(rank[row] * _U(0x9E3779B97F4A7C15) + (before[row] - step).astype(_U)) ^ mix(own + _U(1))
             # starts of one anchor ascend with the rows, but rows of one document may interleave distances: order by (key, doc, start)
             order = np.argsort(key, kind="stable")
@@ -235,9 +250,9 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo in range(0, len(whole), 500):
             batch = whole.slice(lo, 500)
             rows = []
-            for doc, raw, size, runs in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for doc, raw, size, runs, copy in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
                 data = pa.decompress(raw.as_buffer(), size, "zstd", asbytes=True)
-                gone = union([(r["start"], r["end"]) for r in runs or ()])
+                gone = [(0, size)] if copy and size >= LENGTH else union([(r["start"], r["end"]) for r in runs or ()])
                 kept, at = hashlib.sha256(), 0
                 for a, b in gone:
                     kept.update(data[at:a])
@@ -263,17 +278,22 @@ def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     several = bool(times.take(1))
     if several:
         rows = rows.join(times, "doc", "left_anti").unionByName(rows.join(times, "doc", "left_semi").groupBy("doc").agg(F.max("text").alias("text")))
-    found = rows.mapInArrow(_find, _ANCHOR)
-    left = written(found.repartition("rank").sortWithinPartitions("rank").mapInArrow(_repeated, _ANCHOR).groupBy("doc").agg(F.collect_set("rank").alias("ranks")), "anchors")
-    del found
+    digests = written(rows.mapInArrow(_digest, _DIGEST), "digests")
+    first = written(digests.groupBy("digest").agg(F.min("doc").alias("first"), F.count("*").alias("n")), "firsts")
+    copies = with_hot_keys(digests, first.where("n > 1"), "digest", "n").where(F.col("doc") != F.col("first")).select("doc", F.lit(True).alias("copy"))
+    found = rows.select("text").mapInArrow(_find, _ANCHOR)
+    kept = found.repartition("rank").sortWithinPartitions("rank", "digest", "off").mapInArrow(_repeated, _ANCHOR)
+    left = written(kept.groupBy("digest").agg(F.collect_set("rank").alias("ranks")).join(first, "digest").select(F.col("first").alias("doc"), "ranks"), "anchors")
+    del found, kept
     _free(spark)
     packed = rows.mapInArrow(_pack, _PACKED)
     ranked = packed.join(left, "doc").select("doc", "packed", "size", "ranks").mapInArrow(_rank, _RANKED)
     later = ranked.repartition("rank").sortWithinPartitions("rank", "doc", "off").mapInArrow(_later, _RUN)
-    runs = written(later.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("runs")), "runs")
-    del ranked, later
+    runs = later.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("runs"))
+    fate = written(runs.withColumn("copy", F.lit(False)).unionByName(copies.withColumn("runs", F.lit(None).cast(runs.schema["runs"].dataType)).select("doc", "runs", "copy")), "runs")
+    del ranked, later, runs
     _free(spark)
-    result = packed.join(runs, "doc", "left").select("doc", "packed", "size", "runs").mapInArrow(_remove, _RESULT)
+    result = packed.join(fate, "doc", "left").select("doc", "packed", "size", "runs", "copy").mapInArrow(_remove, _RESULT)
     if several:
         result = result.join(times.withColumnRenamed("doc", "doc_id"), "doc_id", "left").withColumn("again", F.explode(F.sequence(F.lit(1), F.coalesce("times", F.lit(1)).cast("int")))).drop("again", "times")
     return result.withColumn("doc_id", F.when(F.col("doc_id") != smallest, F.col("doc_id")))
