@@ -481,7 +481,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     roots = components(links.select("a", "b"))
 
     bounds = None
-    for best in (1, 16, 0):  # most of what is left joins by its best pairs; then all pairs across components
+    for best in (16, 0):  # most of what is left joins by its best pairs; then all pairs across components
         placed = member.join(roots.withColumnRenamed("v", "id"), "id", "left").withColumn("comp", F.coalesce("root", "id")).select("key", "id", "comp", "samples")
         parts = placed.groupBy("key", "comp").agg(F.count("*").alias("n"))
         mixed = parts.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("n_main")).where(F.col("n") > F.col("n_main"))
