@@ -7,7 +7,10 @@ their windows, by the words themselves, so the count is exact.
 The method fits a minimum-covariance-determinant estimate for each language and source to the transformed vector
 (log mean word length, roots of the shares of symbols, duplicate lines, repeated words and capitals).  It starts from
 medians and median absolute deviations; each concentration step takes the distances under the last estimate, their
-``SUBSET`` quantile in each group and the mean and covariance of the documents below it.  Estimates are small tables
+``SUBSET`` quantile in each group and the mean and covariance of the documents below it.  Documents tied at the quantile
+share the weight that is left, so a group of copies never takes the subset beyond its half.  Last, the estimate is
+reweighted: mean and covariance of all documents within ``INNER``, as the half alone is narrow.  Up to nearly half of a
+group may be outliers.  Estimates are small tables
 written to the shared folder between steps, so Spark knows their sizes and broadcasts those below its threshold; documents never move except as rows of a dozen numbers, and aggregates
 are partial before they shuffle, so a source with a third of all rows is no harder than any other.  ``FLOOR`` is added
 to the standard deviations: a statistic that is zero for nearly all documents of a group would make the covariance
@@ -27,9 +30,12 @@ from .common import read_table, written
 
 STATS = ("length", "symbols", "lines", "repeats", "capitals")
 FLOOR = (0.08, 0.05, 0.20, 0.20, 0.08)
-SUBSET = 0.75
+SUBSET = 0.5
 #: Makes the covariance of the SUBSET of least distances that of the whole, for five normal dimensions: SUBSET / P(chi2(7) <= q), q = chi2(5)'s SUBSET quantile.
-CONSISTENT = 0.75 / 0.5266
+CONSISTENT = 0.5 / 0.26148
+#: The 0.975 quantile of chi-squared with five degrees of freedom, and the factor for the covariance within it.
+INNER = 12.8325
+INNER_CONSISTENT = 0.975 / 0.92370
 STEPS = 4
 LEAST = 40
 #: The 0.99999 quantile of chi-squared with five degrees of freedom.
@@ -104,6 +110,27 @@ def _distance() -> Column:
     return sum((x * x for x in z), F.lit(0.0))
 
 
+def _estimate(inner: DataFrame, below: Column, want: Column, factor: float, name: str) -> DataFrame:
+    """Mean and covariance times ``factor`` by ``grp``: rows ``below`` count one each, the others share what they leave of ``want``."""
+    p = len(STATS)
+    cells = [(i, j) for i in range(p) for j in range(i + 1)]
+    sums = written(inner.groupBy("grp", below.alias("below")).agg(
+        F.count("*").alias("n"), F.first(want).alias("want"), *[F.avg(c).alias(f"a{i}") for i, c in enumerate(STATS)], *[F.covar_pop(STATS[i], STATS[j]).alias(f"q{i}{j}") for i, j in cells]
+    ), f"{name}-sums")
+    taken = lambda c: F.sum(F.when(F.col("below") == c, F.col("n")).otherwise(0))
+    parts = sums.join(sums.groupBy("grp").agg(taken(True).alias("n_below"), taken(False).alias("n_tied")), "grp")
+    left = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("want") - F.col("n_below")) / F.col("n_tied")))
+    parts = parts.withColumn("w", F.col("n") * F.when(F.col("below"), 1.0).otherwise(left))
+    parts = written(parts, f"{name}-parts")
+    mean = parts.groupBy("grp").agg(*[(F.sum(F.col("w") * F.col(f"a{i}")) / F.sum("w")).alias(f"m{i}") for i in range(p)])
+    off = [F.col(f"a{i}") - F.col(f"m{i}") for i in range(p)]
+    shaped = parts.join(mean, "grp").groupBy("grp").agg(
+        *[F.first(f"m{i}").alias(f"m{i}") for i in range(p)],
+        *[(F.sum(F.col("w") * (F.col(f"q{i}{j}") + off[i] * off[j])) / F.sum("w") * factor + (FLOOR[i] ** 2 if i == j else 0.0)).alias(_cell(i, j)) for i, j in cells],
+    )
+    return written(_inverse_root(written(shaped, f"{name}-shaped")), name)
+
+
 def fit(stats: DataFrame) -> DataFrame:
     """MCD estimates by ``grp``: one row each, written to the shared folder."""
     p = len(STATS)
@@ -116,12 +143,11 @@ def fit(stats: DataFrame) -> DataFrame:
     est = written(_inverse_root(start), "mcd-0")
     for step in range(1, STEPS + 1):
         far = stats.join(est, "grp").select("grp", *STATS, _distance().alias("d2"))
-        limit = written(far.groupBy("grp").agg(F.percentile_approx("d2", SUBSET, 1000).alias("limit")), f"mcd-limit-{step}")
+        limit = written(far.groupBy("grp").agg(F.percentile_approx("d2", SUBSET, 1000).alias("limit"), F.count("*").alias("n_all")), f"mcd-limit-{step}")
         inner = far.join(limit, "grp").where(F.col("d2") <= F.col("limit"))
-        sums = inner.groupBy("grp").agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(STATS)], *[F.covar_pop(STATS[i], STATS[j]).alias(f"q{i}{j}") for i in range(p) for j in range(i + 1)])
-        shaped = sums.select("grp", *[f"m{i}" for i in range(p)], *[(F.col(f"q{i}{j}") * CONSISTENT + (FLOOR[i] ** 2 if i == j else 0.0)).alias(_cell(i, j)) for i in range(p) for j in range(i + 1)])
-        est = written(_inverse_root(shaped), f"mcd-{step}")
-    return est
+        est = _estimate(inner, F.col("d2") < F.col("limit"), F.col("n_all") * SUBSET, CONSISTENT, f"mcd-{step}")
+    far = stats.join(est, "grp").select("grp", *STATS, _distance().alias("d2"))
+    return _estimate(far.where(F.col("d2") <= INNER), F.lit(True), F.lit(0.0), INNER_CONSISTENT, "mcd-reweighted")
 
 
 def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:

@@ -233,6 +233,16 @@ def test_quality_outliers(spark):
     assert quality.judge(documents(spark, rows).where("doc_id < 0")).count() == 0
 
 
+def test_quality_third_of_outliers(spark):
+    """A third of a group are outliers, copies of one in one source and varied in another; a third of clean copies does no harm."""
+    bad = lambda i: " ".join(w + "###" for w in prose(120, i).split())
+    rows = [(1000 * s + i, prose(120, 1000 * s + i), "en", f"s{s}") for s in range(3) for i in range(100)]
+    rows += [(5000 + i, bad(5000), "en", "s0") for i in range(50)] + [(6000 + i, bad(6000 + i), "en", "s1") for i in range(50)]
+    rows += [(7000 + i, prose(120, 2000), "en", "s2") for i in range(50)]
+    got = rows_of(quality.judge(documents(spark, rows)), "doc_id", "kept")
+    assert [i for i, *_ in rows if got[i][0] == (5000 <= i < 7000)] == []
+
+
 def test_quality_runs_no_python(spark):
     plan = quality.judge(documents(spark, [(1, "a b")]).select("doc_id", "text", "lang", "source"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
