@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from joinloom.llm import bpe, language, minhash, mixing, secrets
 from joinloom.llm.common import read_table, written
 
-#: A document goes if no language has this share of its letters.
+#: A document goes if no language that it is like has this share of its letters.
 LEAST_SHARE = 0.4
 
 

@@ -12,7 +12,9 @@ by twice the penalty decides its state whatever stands around it, so documents a
 stretches run side by side in numpy.
 
 The prediction is the language with most letters on the path (ties: the first in order), the score its share of
-letters.  Null texts and texts without a letter are ``und`` with score 0, and so is everything where nothing was
+letters.  Letters of words in a script that no language uses speak for none.  The score is 0 where the language's words are
+unlike it: their mean log-likelihood per n-gram must come within ``MARGIN`` (and ``NOISE`` over the root of the number of
+n-grams) of what is usual for the language's own documents under a model of the other half of the sample.  Null texts and texts without a letter are ``und`` with score 0, and so is everything where nothing was
 learned.  Repeated rows are predicted each for itself.  Input columns named ``lang_pred``, ``score`` or ``spans``
 are replaced.
 """
@@ -39,6 +41,8 @@ PENALTY = 6.0
 SCALE = 0.5
 SHARE = 0.01
 BARRED = -4.0
+#: How far below the usual log-likelihood per n-gram (nats) a document may lie.
+MARGIN, NOISE = 2.0, 12.0
 
 # First and last code point of scripts.
 SCRIPTS = (
@@ -105,6 +109,8 @@ class Model:
     weights: np.ndarray  # (buckets, languages)
     barred: np.ndarray  # (scripts, languages): penalties
     silent: np.ndarray  # (scripts,): no language uses it
+    mean: np.ndarray  # (buckets,): the languages' mean log-likelihood
+    usual: np.ndarray  # (languages,): log-likelihood per n-gram of documents that weren't trained on
 
 
 def decoded(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -118,27 +124,55 @@ def decoded(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return points, at, first[:-1]
 
 
+def _logs(counts: np.ndarray) -> np.ndarray:
+    return np.log((counts + 0.5) / (counts.sum(1, keepdims=True) + 0.5 * max(1, np.count_nonzero(counts.sum(0)))))
+
+
 def train(texts: list[str], labels: list[str]) -> Model:
     languages = tuple(sorted(set(labels)))
     k = len(languages)
-    counts = np.zeros((k, BUCKETS))
+    halves = np.zeros((2, k, BUCKETS))  # of every other document
     scripts = np.zeros((k, N_SCRIPTS))
     letter, _, script = tables()
-    for which, language in enumerate(languages):
-        data, at = utf8(pa.array([t for t, x in zip(texts, labels, strict=True) if x == language], pa.string()))
+
+    def parts(which: int, half: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        own = [t for t, x in zip(texts, labels, strict=True) if x == languages[which]][half::2]
+        data, at = utf8(pa.array(own, pa.string()))
         for i, j in pieces(at):
-            points, _, first = decoded(data[at[i] : at[j]], at[i : j + 1])
-            inside = letter[points] > 0
-            _, found = grams(points, inside, first)
-            counts[which] += np.bincount(found[:, inside].reshape(-1), minlength=BUCKETS)
-            scripts[which] += np.bincount(script[points[letter[points] == 2]], minlength=N_SCRIPTS)
-    total = counts.sum(1, keepdims=True)
-    logs = np.log((counts + 0.5) / (total + 0.5 * max(1, np.count_nonzero(counts.sum(0)))))
-    logs[:, counts.sum(0) == 0] = 0
+            points, ends, first = decoded(data[at[i] : at[j]], at[i : j + 1])
+            yield points, ends, first
+
+    for which in range(k):
+        for half in range(2):
+            for points, _, first in parts(which, half):
+                inside = letter[points] > 0
+                _, found = grams(points, inside, first)
+                halves[half, which] += np.bincount(found[:, inside].reshape(-1), minlength=BUCKETS)
+                scripts[which] += np.bincount(script[points[letter[points] == 2]], minlength=N_SCRIPTS)
+    usual = np.full(k, -np.inf)
+    others = [_logs(halves[1]), _logs(halves[0])]
+    for which in range(k):
+        seen = []
+        for half in range(2):
+            for points, ends, first in parts(which, half):
+                inside = letter[points] > 0
+                _, found = grams(points, inside, first)
+                sums = np.concatenate(([0.0], np.cumsum(np.where(inside, others[half][which][found].sum(0), 0.0))))
+                n = np.concatenate(([0], np.cumsum(4 * inside)))
+                n, sums = np.diff(n[ends]), np.diff(sums[ends])
+                seen.append(sums[n > 0] / n[n > 0])
+        seen = np.concatenate([np.zeros(0), *seen])
+        if len(seen):
+            usual[which] = np.median(seen)
+    counts = halves.sum(0)
+    logs = _logs(counts)
+    mean = logs.mean(0) if k else np.zeros(BUCKETS)
     share = scripts / np.maximum(1, scripts.sum(1, keepdims=True))
     uses = share >= SHARE
     barred = np.where(uses | ~uses.any(0), 0.0, BARRED).T
-    return Model(languages, ((logs - logs.mean(0)) * SCALE).T.astype(np.float32), barred.astype(np.float32), ~uses.any(0))
+    never = counts.sum(0) == 0
+    weights = np.where(never, 0.0, (logs - mean) * SCALE)
+    return Model(languages, weights.T.astype(np.float32), barred.astype(np.float32), ~uses.any(0), mean.astype(np.float32), usual)
 
 
 def viterbi(scores: np.ndarray, begin: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
@@ -189,8 +223,8 @@ def viterbi(scores: np.ndarray, begin: np.ndarray, penalty: float = PENALTY) ->
     return out
 
 
-def label(model: Model, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Letters of each document by language, and per word: document, start, end (code points), language."""
+def label(model: Model, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Letters of each document by language, per word: document, start, end (code points), language; per document all letters and whether its language's words are like it."""
     points, at, first = decoded(data, at)
     letter, _, script = tables()
     kind = letter[points]
@@ -199,23 +233,30 @@ def label(model: Model, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, n
     docs, k = len(at) - 1, len(model.languages)
     empty = np.zeros(0, np.int64)
     if not len(start) or not k:
-        return np.zeros((docs, max(1, k))), empty, empty, empty, empty
+        return np.zeros((docs, max(1, k))), empty, empty, empty, empty, np.zeros(docs), np.zeros(docs, bool)
     within = np.flatnonzero(inside)
     cut = np.searchsorted(within, start)
     each = np.take(model.weights, found[0, within], axis=0)
     for row in found[1:]:
         each += np.take(model.weights, row[within], axis=0)
     scores = np.add.reduceat(each, cut, axis=0)
+    level = np.add.reduceat(model.mean[found[:, within]].sum(0, dtype=np.float64), cut)[:, None] + scores / SCALE
     scores += model.barred[script[points[start]]]
-    scores[model.silent[script[points[start]]]] = 0
+    silent = model.silent[script[points[start]]]
+    scores[silent] = 0
     np.clip(scores - scores.max(1, keepdims=True), -2.5 * PENALTY, 0, out=scores)
     doc = np.searchsorted(at, start, "right") - 1
     begin = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
     path = viterbi(scores, begin)
     letters = np.add.reduceat((kind[within] == 2).astype(np.int64), cut)
     ends = within[np.append(cut[1:], len(within)) - 1] + 1
-    by = np.bincount(doc * k + path, weights=letters, minlength=docs * k).reshape(docs, k)
-    return by, doc, start - at[doc], ends - at[doc], path
+    by = np.bincount(doc * k + path, weights=np.where(silent, 0, letters), minlength=docs * k).reshape(docs, k)
+    top = by.argmax(1)
+    own = ~silent & (path == top[doc])
+    n = np.bincount(doc[own], weights=4.0 * np.diff(np.append(cut, len(within)))[own], minlength=docs)
+    reached = np.bincount(doc[own], weights=level[own, path[own]], minlength=docs) / np.maximum(1, n)
+    like = (n > 0) & (reached >= model.usual[top] - MARGIN - NOISE / np.sqrt(np.maximum(1, n)))
+    return by, doc, start - at[doc], ends - at[doc], path, np.bincount(doc, weights=letters, minlength=docs), like
 
 
 MADE = T.StructType([
@@ -232,10 +273,10 @@ def _predict(batches: Iterator[pa.RecordBatch], model: Model, text: str, keep: l
     for batch in batches:
         data, at = utf8(batch.column(batch.schema.get_field_index(text)))
         for i, j in pieces(at):
-            by, doc, start, end, path = label(model, data[at[i] : at[j]], at[i : j + 1])
-            total, top = by.sum(1), by.argmax(1)
+            by, doc, start, end, path, total, like = label(model, data[at[i] : at[j]], at[i : j + 1])
+            top = by.argmax(1)
             lang = [model.languages[t] if n else "und" for t, n in zip(top.tolist(), total.tolist(), strict=True)]
-            score = by[np.arange(len(by)), top] / np.maximum(1, total)
+            score = np.where(like, by[np.arange(len(by)), top] / np.maximum(1, total), 0.0)
             part = batch.slice(i, j - i)
             made = [pa.array(lang), pa.array(score, pa.float64())]
             if spans:

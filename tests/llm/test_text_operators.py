@@ -186,6 +186,17 @@ def test_language(spark):
     assert {r.lang_pred for r in language.predict(df, nothing).collect()} == {"und"}
 
 
+def test_language_stage_drops_unlearned(spark):
+    """Documents in an unlearned script, an unlearned language and gibberish go; clean ones stay."""
+    import corpus_pipeline
+
+    rows = [(i, _spoken(40, i, x), x) for i, x in enumerate(["en", "de"] * 60)]
+    finnish = "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki ja omatunto"
+    rows += [(500, _spoken(40, 1, "ru"), None), (501, "漢字" * 40, None), (502, finnish, None), (503, prose(60, 3, "qxzjvkwpy"), None), (504, _spoken(20, 2, "en") + " " + _spoken(60, 3, "ru"), None), (505, _spoken(60, 999, "de") + " дом", None)]
+    kept = {r.doc_id for r in corpus_pipeline.identify_language(spark, documents(spark, rows), "").collect()}
+    assert kept == {*range(120), 505}
+
+
 def test_training_split(spark):
     import zlib
 
