@@ -1,7 +1,8 @@
 """Language identification of mixed text: scripts narrow candidates, Viterbi labels spans of words.
 
-Training takes a bounded sample: the ``TRAIN_DOCS`` labelled documents of the training split that come first by
-hash of their id, of at most ``TRAIN_CHARS`` characters each.  It counts hashed character n-grams (one to three
+Training takes a bounded sample: of each language the ``TRAIN_DOCS`` labelled documents of the training split that come
+first by hash of their id (fewer where more than ``TRAIN_ALL`` / ``TRAIN_DOCS`` languages share ``TRAIN_ALL``), and of each
+the first ``TRAIN_CHARS`` characters.  So every label is learned, however rare.  It counts hashed character n-grams (one to three
 code points, word borders included) and the scripts of letters for each language.
 
 A word (a run of letters and marks) takes the script of its first letter; languages that (nearly) never use that
@@ -28,13 +29,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import pieces, read_table, ship, utf8
 
-TRAIN_DOCS = 3000
+TRAIN_DOCS = 1000
+TRAIN_ALL = 20_000
 TRAIN_CHARS = 50_000
 BUCKETS = 1 << 17
 PENALTY = 6.0
@@ -296,11 +298,14 @@ def held_out(doc_id: str | Column) -> Column:
 
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", most: int = TRAIN_DOCS) -> Model:
     """A model of the bounded sample; ``docs`` includes held-out rows, which aren't read."""
-    rows = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t"), F.col(lang).alias("l")).where(
-        F.col("l").isNotNull() & F.col("t").isNotNull() & ~held_out("i") & (F.length("t") <= TRAIN_CHARS)
-    )
-    first = rows.select("i", F.xxhash64("i").alias("h")).orderBy("h", "i").limit(most)
-    sample = rows.join(F.broadcast(first.select("i").distinct()), "i", "left_semi").select("t", "l").limit(4 * most).collect()
+    rows = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t"), F.col(lang).alias("l")).where(F.col("l").isNotNull() & F.col("t").isNotNull() & ~held_out("i"))
+    labels = rows.select("l").distinct().count()
+    each = max(1, min(most, TRAIN_ALL // max(1, labels)))
+    order = Window.partitionBy("l").orderBy("h", "i")
+    first = rows.select("l", "i", F.xxhash64("i").alias("h")).withColumn("k", F.row_number().over(order)).where(F.col("k") <= each).select("l", "i").distinct()
+    picked = rows.join(F.broadcast(first), rows["l"].eqNullSafe(first["l"]) & rows["i"].eqNullSafe(first["i"]), "left_semi")
+    again = Window.partitionBy("l").orderBy("h", "i", "t")  # rows may repeat an id
+    sample = picked.select("i", "l", F.substring("t", 1, TRAIN_CHARS).alias("t"), F.xxhash64("i").alias("h")).withColumn("k", F.row_number().over(again)).where(F.col("k") <= each).select("t", "l").collect()
     return train([r[0] for r in sample], [r[1] for r in sample])
 
 

@@ -197,6 +197,17 @@ def test_language_stage_drops_unlearned(spark):
     assert kept == {*range(120), 505}
 
 
+def test_rare_language_is_learned(spark):
+    """A bounded sample holds documents of each label, also where only long ones have it."""
+    rows = [(i, _spoken(8, i, "en"), "en") for i in range(600)] + [(1000 + i, _spoken(8, i, "de"), "de") for i in range(4)]
+    rows += [(2000 + i, _spoken(20_000, i, "ru"), "ru") for i in range(4)] + [(None, "the house", "en")]
+    df = documents(spark, rows)
+    model = language.fit(df, most=6)
+    assert model.languages == ("de", "en", "ru")
+    got = rows_of(language.predict(df.where("doc_id >= 1000"), model), "doc_id", "lang_pred")
+    assert all(x[0] == ("de" if i < 2000 else "ru") for i, x in got.items())
+
+
 def test_training_split(spark):
     import zlib
 
