@@ -21,6 +21,13 @@ Literal = int | float | str | None
 OPS = ("=", "!=", "<", ">", "<=", ">=", "LIKE", "NOT LIKE", "IS NULL", "IS NOT NULL")
 
 
+def _quoted(text: str) -> str:
+    """In single quotes; what could end the string or the line is escaped, so no two strings print alike."""
+    for raw, shown in (("\\", "\\\\"), ("'", "\\'"), ("\n", "\\n"), ("\r", "\\r")):
+        text = text.replace(raw, shown)
+    return f"'{text}'"
+
+
 @dataclass(frozen=True)
 class Compare:
     column: int
@@ -37,7 +44,7 @@ class Compare:
     def _value(self) -> str:
         if self.op.startswith("IS ") or self.value is None:
             return ""
-        return f"'{self.value}'" if isinstance(self.value, str) else str(self.value)
+        return _quoted(self.value) if isinstance(self.value, str) else str(self.value)
 
     def columns(self) -> set[int]:
         return {self.column}
@@ -152,6 +159,7 @@ def fnv1a(text: str) -> int:
     return h
 
 
-def fingerprint(table: str, predicate: Predicate | None) -> str:
-    """The name of a filtered table in the cache."""
-    return f"{table}_{fnv1a(predicate.pretty() if predicate else 'No filter')}"
+def fingerprint(table: str, predicate: Predicate | None, more: str = "") -> str:
+    """The name of a filtered table in the cache; ``more`` is whatever else its rows depend on."""
+    shown = predicate.pretty() if predicate else "No filter"
+    return f"{table}_{fnv1a(f'{shown}\n{more}' if more else shown)}"

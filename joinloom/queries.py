@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .catalog import Catalog, load
+from .engine import Context, prefiltered
 from .functions.predicates import Compare
 from .operators.verify import difference, in_order, printed, same
 from .plans.explain import tree_of
@@ -18,7 +22,7 @@ from .sources.cache import answer, cached, save_answer
 from .sources.csv import read_csv, write_csv
 from .sources.memory import from_rows
 from .sources.shared import fresh_path
-from .types import Attribute, DataType
+from .types import Attribute, CsvError, DataType
 
 Query = Callable[[SparkSession, str], DataFrame]
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "documents")
@@ -189,6 +193,33 @@ def cache_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cached(spark, folder, "customer", keep, lambda: 1 / 0)  # the second time it is there
 
 
+PREFILTERED = (
+    "SELECT l.l_orderkey FROM lineitem l, part p WHERE l.l_partkey = p.p_partkey AND l.l_suppkey = p.p_partkey AND p.p_size < 20",
+    "SELECT l.l_orderkey FROM lineitem l, part p WHERE l.l_partkey = p.p_partkey AND p.p_size < 20",
+)
+
+
+def cache_prefiltered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filtered inputs by fingerprint: the second query must not get the rows of the first, whose joins imply one equality more."""
+    folder, tables = fresh_path(spark, "prefiltered"), load(spark, sf_dir, ("lineitem", "part"))
+    found = [prefiltered(Context(spark), folder, text, tables)["l"] for text in (*PREFILTERED, PREFILTERED[0])]
+    return functools.reduce(DataFrame.unionByName, [df.groupBy("l_linenumber").agg(F.count("*").alias("n")).withColumn("query", F.lit(i)) for i, df in enumerate(found)])
+
+
+def csv_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of one nation each, as written, and cut inside the last quoted field: whether reading raises."""
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", F.concat(F.lit('"'), "n_name", F.lit('"')).alias("n_name"))
+    columns, out = [Attribute("n_nationkey", I32), Attribute("n_name", STR)], []
+    for case, text in (("whole", F.concat("n_nationkey", F.lit(","), "n_name")), ("open", F.concat("n_nationkey", F.lit(","), F.expr("rtrim('\"', n_name)"))), ("ragged", F.concat("n_nationkey", F.lit(",1,2")))):
+        path = fresh_path(spark, "strict-csv")
+        nation.select(text.alias("value")).coalesce(1).write.text(path)
+        try:
+            out.append((case, read_csv(spark, path, columns).agg(F.count_distinct("n_nationkey", "n_name")).first()[0]))
+        except (CsvError, PySparkException, Py4JJavaError):
+            out.append((case, None))
+    return spark.createDataFrame(out, "case string, n_rows long")
+
+
 def memory_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return from_rows(spark, [(1, 10, 0.5, "a"), (None, None, None, None), (2, 20, 1.5, "")], [I32, I64, F64, STR])
 
@@ -235,6 +266,8 @@ OTHERS: dict[str, tuple[Query, str | None]] = {
     "rows_mode": (rows_mode, "SELECT n.n_name AS nation, s.s_name AS supplier FROM region AS r, nation AS n, supplier AS s WHERE r.r_regionkey = n.n_regionkey AND n.n_nationkey = s.s_nationkey AND r.r_name = 'EUROPE'"),
     "csv_roundtrip": (csv_roundtrip, "SELECT p_partkey, CASE WHEN p_size > 10 THEN '\"a\\\", b\n' || p_name END AS p_name, p_size, p_retailprice FROM part WHERE p_size < 30"),
     "cache_roundtrip": (cache_roundtrip, "SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer WHERE c_mktsegment = 'BUILDING'"),
+    "cache_prefiltered": (cache_prefiltered, " UNION ALL ".join(f"SELECT l_linenumber, count(*) AS n, {i}::INTEGER AS query FROM lineitem {w} GROUP BY l_linenumber" for i, w in enumerate(("WHERE l_partkey = l_suppkey", "", "WHERE l_partkey = l_suppkey")))),
+    "csv_strict": (csv_strict, "SELECT 'whole' AS \"case\", count(*) AS n_rows FROM nation UNION ALL SELECT 'open', NULL UNION ALL SELECT 'ragged', NULL"),
     "memory_source": (memory_source, "SELECT * FROM (VALUES (1::INTEGER, 10::BIGINT, 0.5::DOUBLE, 'a'), (NULL, NULL, NULL, NULL), (2, 20, 1.5, '')) t(c0, c1, c2, c3)"),
     "verify_compare": (verify_compare, "SELECT n_nationkey, CASE n_nationkey WHEN 3 THEN 1::BIGINT ELSE 1::BIGINT END AS n_left, CASE n_nationkey WHEN 3 THEN 0::BIGINT ELSE 2::BIGINT END AS n_right, true AS copy_equal FROM nation WHERE n_nationkey IN (3, 4)"),
     "golden_answer": (golden_answer, "SELECT 0::BIGINT AS different"),

@@ -16,9 +16,21 @@ def exists(spark: SparkSession, path: str) -> bool:
     return mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark)
 
 
-def cached(spark: SparkSession, folder: str, table: str, predicate: Predicate | None, make: Callable[[], DataFrame]) -> DataFrame:
-    """The filtered table from the cache; ``make`` builds it the first time."""
-    path = f"{folder}/{fingerprint(table, predicate)}.parquet"
+def version(df: DataFrame) -> str | None:
+    """The files behind ``df`` with their sizes and times, and its columns; None where rows don't come from files."""
+    spark, files = df.sparkSession, sorted(df.inputFiles())
+    if not files:
+        return None
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    paths = [jvm.org.apache.hadoop.fs.Path(f) for f in files]
+    states = [p.getFileSystem(conf).getFileStatus(p) for p in paths]
+    plan = df._jdf.queryExecution().analyzed().canonicalized().toString()
+    return "\n".join([plan, *(f"{f} {s.getLen()} {s.getModificationTime()}" for f, s in zip(files, states, strict=True))])
+
+
+def cached(spark: SparkSession, folder: str, table: str, predicate: Predicate | None, make: Callable[[], DataFrame], more: str = "") -> DataFrame:
+    """The filtered table from the cache; ``make`` builds it the first time.  ``more``: what else its rows depend on."""
+    path = f"{folder}/{fingerprint(table, predicate, more)}.parquet"
     if not exists(spark, path):
         make().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

@@ -73,3 +73,10 @@ def test_filters_reach_the_scan(spark, data):
     part = spark.read.parquet(f"{data}/part.parquet")
     plan = part.where(is_in(0, [1, 7]).to_column(lambda i: F.col("p_size"))).select("p_partkey")._jdf.queryExecution().executedPlan().toString()
     assert "In(p_size, [1,7])" in plan and "p_name" not in plan.split("ReadSchema")[1]
+
+
+def test_strings_print_apart():
+    two = Logic("AND", (Compare(1, "=", "x"), Compare(1, "=", "y")))
+    one = Logic("AND", (Compare(1, "=", "x'\n  1 = 'y"),))
+    assert two.pretty() != one.pretty() and fingerprint("t", two) != fingerprint("t", one)
+    assert len({Compare(1, "=", v).pretty() for v in ("\n", "\\n", "\\\n", "\r", "'", "\\'")}) == 6

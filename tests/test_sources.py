@@ -38,8 +38,10 @@ def test_strict(spark, tmp_path, text):
 
 def test_open_quote(spark, tmp_path):
     with pytest.raises(CsvError):
-        rows(spark, tmp_path, '1,"a,1\n', check_quotes=True)
-    assert rows(spark, tmp_path, '1,"a\\"b",1\n', check_quotes=True) == [(1, 'a"b', 1.0)]
+        rows(spark, tmp_path, '1,"a,1\n')
+    with pytest.raises(CsvError):
+        rows(spark, tmp_path, '1,"a,1\n2,"b,1\n', multi_line=False)
+    assert rows(spark, tmp_path, '1,"a\\"b",1\n') == rows(spark, tmp_path, '1,"a\\"b",1\n', multi_line=False) == [(1, 'a"b', 1.0)]
 
 
 def test_import_and_cache(spark, tmp_path):
