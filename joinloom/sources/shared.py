@@ -10,9 +10,11 @@ from pyspark.sql import SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a temporary folder only where the session names none (tests)."""
+    """The session's ``spark.checkpoint.dir``; only a local master, whose executors are threads, may do without."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = Path(tempfile.mkdtemp(prefix="joinloom-shared-")).as_uri()
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
