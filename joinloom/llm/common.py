@@ -1,4 +1,7 @@
-"""What the operators share: the shared folder, shipped code, byte-level text arrays and skew-safe joins.
+"""What the operators share: tables in the shared folder, shipped code and byte-level text arrays.
+
+Joins with one row a key on one side are left to Spark: adaptive execution broadcasts that side below its threshold and
+otherwise splits the partitions of hot keys.
 
 Text arrays: an Arrow string column is one byte buffer plus offsets, so the operators work on whole batches
 in numpy without building Python strings.  ``pieces`` cuts a batch into runs of whole documents of about
@@ -7,28 +10,37 @@ in numpy without building Python strings.  ``pieces`` cuts a batch into runs of
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
-import uuid
 import zipfile
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..sources.shared import fresh_path, shared_dir  # noqa: F401
 
 # Words are runs of bytes outside ASCII white space; UTF-8 continuation bytes never fall in that range.
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 PIECE_BYTES = 1 << 20
+PARTS = 16
 _U = np.uint64
 _SHIPPED: set[str] = set()
 
 
+#: Spark fills Arrow batches by rows; by bytes, long texts take no more memory than short ones.
+BATCH_BYTES = "4m"
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, whatever their working directory is."""
+    """Send this package to the executors once per application, whatever their working directory is, and bound the session's batches."""
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return
@@ -39,44 +51,101 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(package.parent))
     sc.addPyFile(str(target))
     _SHIPPED.add(sc.applicationId)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where the session names none (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:
-        at = Path(tempfile.mkdtemp(prefix="joinloom-shared-")).as_uri()
-        spark.sparkContext.setCheckpointDir(at)
-    return at.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder: cuts lineage and survives lost executors."""
+    """``df`` as a table in the shared folder: cuts lineage and survives lost executors.  Its shuffle files go at once."""
     spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path, before = fresh_path(spark, name), spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    made = spark.read.schema(df.schema).parquet(path)
+    made.jl_path = path
+    return made
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, made longer until no column has it."""
+    have = {c.lower() for c in columns}
+    while name in have:
+        name += "_"
+    return name
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``written`` that nothing will read again."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.jl_path)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def with_hot_keys(rows: DataFrame, per_key: DataFrame, key: str, count: str, most: int = 1000) -> DataFrame:
-    """``rows`` inner-joined with ``per_key`` (one row a key, ``count`` rows each) on ``key``, safe against hot keys.
+def release() -> None:
+    """Give back the memory that a finished task leaves in its worker."""
+    _POWERS.clear()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def arrow(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """``mapInArrow`` by ``work``; workers outlive their tasks, so each task gives its memory back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(run, schema)
+
+
+# --- tables added up over all rows ------------------------------------------------------------------------------
+
+_PART = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("docs", T.LongType()), T.StructField("packed", T.BinaryType())])
+
+
+def total(df: DataFrame, fill: Callable[[np.ndarray, pa.RecordBatch], None], size: int, kind: type, add: np.ufunc) -> tuple[np.ndarray, int]:
+    """A table of ``size`` numbers, filled by task and added up by part, and the number of rows."""
+
+    def emit(tables: dict[int, np.ndarray], docs: dict[int, int]) -> pa.RecordBatch:
+        packed = [zlib.compress(np.ascontiguousarray(t).tobytes(), 1) for t in tables.values()]
+        return pa.RecordBatch.from_arrays([pa.array(list(tables), pa.int32()), pa.array([docs.get(p, 0) for p in tables], pa.int64()), pa.array(packed, pa.binary())], names=_PART.names)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, n = np.zeros(size, kind), 0
+        for batch in batches:
+            n += len(batch)
+            fill(table, batch)
+        if n:
+            yield emit(dict(enumerate(np.split(table, PARTS))), {0: n})
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables: dict[int, np.ndarray] = {}
+        docs: dict[int, int] = {}
+        for batch in batches:
+            for part, n, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                x = np.frombuffer(zlib.decompress(packed), kind)
+                tables[part] = add(tables[part], x) if part in tables else x
+                docs[part] = docs.get(part, 0) + n
+        if tables:
+            yield emit(tables, docs)
 
-    The ``most`` most frequent keys, a bounded number, are broadcast and their rows stay where they are; any
-    other key holds under 1/``most`` of all rows and goes through a shuffle.
-    """
-    hot = per_key.where(F.col(count) > 1000).orderBy(F.desc(count), key).limit(most)
-    hot_keys = F.broadcast(hot.select(key))
-    return rows.join(F.broadcast(hot), key).unionByName(
-        rows.join(hot_keys, key, "left_anti").join(per_key.join(hot_keys, key, "left_anti"), key)
-    )
+    out, n = np.zeros((PARTS, size // PARTS), kind), 0
+    for part, docs, packed in arrow(arrow(df, count, _PART).repartition(PARTS, "part"), gather, _PART).collect():
+        out[part] = np.frombuffer(zlib.decompress(packed), kind)
+        n += docs
+    return out.reshape(-1), n
 
 
 # --- text as arrays -------------------------------------------------------------------------------------------

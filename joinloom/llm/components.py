@@ -1,9 +1,9 @@
 """Connected components of an edge table by alternating large-star and small-star steps.
 
 Edges never reach the driver.  Each step is one join of the edges with the smallest neighbour of each vertex; the
-result is written to the shared folder, which cuts the lineage and survives lost executors.  Hubs are safe: the
-smallest neighbour is a partial aggregate, and the most frequent vertices are joined by a broadcast of bounded size.
-The number of steps grows with the logarithm of the longest path.
+result is written to the shared folder, which cuts the lineage and survives lost executors, and the tables of the step
+before are deleted.  Hubs are safe: the smallest neighbour is a partial aggregate, and adaptive execution splits what a
+hub's join reads.  The number of steps grows with the logarithm of the longest path.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import with_hot_keys, written
+from .common import discard, written
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -27,13 +27,14 @@ def components(edges: DataFrame, most_steps: int = 60) -> DataFrame:
         if not state[0]:
             break
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n"))
-        large = with_hot_keys(both, least, "a", "n").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = written(large, "cc")  # a > b in every row
-        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-        joined = with_hot_keys(large, least, "a", "n")
-        small = joined.where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct()
-        edges = written(small, "cc")
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        # a > b in every row
+        large = written(both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "cc")
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        rest = large.join(least, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = written(rest.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "cc")
+        discard(edges, large)
+        edges = small
         before, state = state, _state(edges)
         if state == before:
             break

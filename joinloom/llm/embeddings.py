@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read_table, ship, with_hot_keys, written
+from .common import arrow, read_table, ship, written
 from .components import components
 
 ROTATIONS = 2
@@ -208,18 +208,18 @@ def near_duplicates(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "e
         return alone
     good = good.withColumn("v", F.transform("v", lambda x: x + F.lit(0.0).cast("float")))  # no negative zeros
     classes = written(good.groupBy("v").agg(F.min("vec_id").alias("cid"), F.count("*").alias("n")), "vectors")
-    asked = classes.select("cid", "n", "v").mapInArrow(lambda it: _ask(it, width), _ASKED)
+    asked = arrow(classes.select("cid", "n", "v"), lambda it: _ask(it, width), _ASKED)
     # how many vectors each bucket indexes: at most (2 * width) ** ROTATIONS rows, few bytes each
-    sizes = classes.select("cid", "n", "v").mapInArrow(lambda it: _ask(it, width), _ASKED).where("indexed").groupBy("bucket").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")).where("chunks > 1")
+    sizes = arrow(classes.select("cid", "n", "v"), lambda it: _ask(it, width), _ASKED).where("indexed").groupBy("bucket").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")).where("chunks > 1")
     asked = asked.join(sizes, "bucket", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     spread = F.when(F.col("indexed"), F.array(F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1))
     dealt = asked.withColumn("chunk", F.explode(spread)).repartition("bucket", "chunk").sortWithinPartitions("bucket", "chunk", F.desc("indexed"))
-    found = written(dealt.select("bucket", "chunk", "cid", "n", "indexed", "home", "probes", "vector").mapInArrow(lambda it: _verify(it, width, threshold), _FOUND).groupBy("a", "b").agg(F.sum("links").alias("links")), "vector-links")
+    found = written(arrow(dealt.select("bucket", "chunk", "cid", "n", "indexed", "home", "probes", "vector"), lambda it: _verify(it, width, threshold), _FOUND).groupBy("a", "b").agg(F.sum("links").alias("links")), "vector-links")
     roots = components(found.select("a", "b"))
     links = found.groupBy("a").agg(F.sum("links").alias("links"))
     nodes = classes.join(links.withColumnRenamed("a", "cid"), "cid", "left").join(roots.withColumnRenamed("v", "cid"), "cid", "left")
     nodes = written(nodes.select("v", "n", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "cid").alias("component_id")), "vector-classes")
-    linked = with_hot_keys(good, nodes, "v", "n").select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
+    linked = good.join(nodes, "v").select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
     return linked.unionByName(alone)
 
 

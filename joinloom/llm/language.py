@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import pieces, read_table, ship, utf8
+from .common import arrow, pieces, read_table, ship, utf8
 
 TRAIN_DOCS = 1000
 TRAIN_ALL = 20_000
@@ -315,7 +315,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] |
     names = [c for c in (docs.columns if keep is None else keep) if c not in made or c == text]
     schema = T.StructType([docs.schema[c] for c in names] + [f for f in MADE.fields if f.name in made])
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.select(*dict.fromkeys([*names, text])).mapInArrow(lambda it: _predict(it, shared.value, text, names, spans), schema)
+    return arrow(docs.select(*dict.fromkeys([*names, text])), lambda it: _predict(it, shared.value, text, names, spans), schema)
 
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,27 +1,33 @@
 r"""Near-duplicate texts: improved consistent weighted sampling over TF-IDF shingles, banded, verified.
 
 Weights: a shingle of five words (``[^\x20\x09-\x0D]+``; a shorter text is one shingle) weighs its count in the text
-times its idf, 1 + ``DAMPING`` * ln((N + 1) / (df + 1)) / ln(N + 2).  It lies between 1 and 1 + DAMPING: an undamped idf
-would pull a large group of near copies apart, as what they share is frequent only because they share it, while each
-one's edits weigh most.  Document frequencies of all shingles of all documents are counted in a table of ``CELLS`` hashed cells;
-its size doesn't grow with the data, so it may be broadcast, and an estimate is never too low.
+times its idf, 1 + ``DAMPING`` * ln(1 / p) / ln(1 / RARE), where p is the share of documents that hold it, ``RARE`` at
+least.  It lies between 1 and 1 + DAMPING: an undamped idf would pull a large group of near copies apart, as what
+they share is frequent only because they share it, while each one's edits weigh most.  All shingles of all documents are
+counted in a sketch of ``ROWS_OF_CELLS`` rows of ``CELLS`` cells; the mean load of a cell is taken off and the lowest row
+counts.  What is left of a cell's noise is a share of the documents that doesn't depend on their number, as p and RARE
+are; so the weights are alike at every size, and the table may be broadcast.
 
 1. One pass samples each text ``DRAWS`` times by improved consistent weighted sampling: with r, c ~ Gamma(2, 1)
    and beta uniform for each shingle and draw, t = floor(ln w / r + beta), ln a = ln c - r (t - beta + 1), and the
    sample is (shingle, t) of the least a; two texts agree in a draw with the probability of their weighted Jaccard.
 2. Equal texts are one class by digest; only its smallest doc_id goes on.
 3. In a bucket (band of ``ROWS`` samples) the most central text leads and is paired with all that agree with it in at
-   least ``AGREE`` of their samples, then the most central of the rest, and so on.  Buckets of many texts are salted; the
-   salts' leaders meet in a second pass.  That is one pair a text and bucket at most, whatever the bucket's size.
+   least ``agree`` of their samples, then the most central of the rest, and so on.  Buckets are dealt by hash into parts
+   of about ``SALT`` texts; the leaders of a bucket's parts meet again until they fit one.  That is one pair a text and bucket at most.
 4. Pairs are verified by the weighted Jaccard of their whole texts (``SIMILARITY``); links give components.
-5. Buckets that still hold several components are taken again: every text outside the bucket's largest component is
-   compared with all texts of the bucket.  First its best pairs are verified, which joins most, then each pair across
-   components that agrees well enough, unless the weight of shingles that any other such text holds shows that it can't be similar (which settles the heavily
-   edited copies of a large group).  So a link inside a bucket is lost only if its samples agree less than ``AGREE``.
-
-Every shuffle is of digests, samples or of the texts of candidates; nothing is collected but the frequency table.
+5. Buckets that still hold several components are taken together by their largest component.  Every text outside it is
+   compared with all texts of these buckets, first by samples, to find which texts are in question at all, then by
+   their words: of each two components, the pairs that agree in at least ``agree`` samples are verified, the best
+   first, until one links them.  Only links that join components come out, so what comes out grows with the texts and
+   not with the pairs.  A link inside a bucket is lost only if its samples agree less than ``agree`` (at a similarity of
+   exactly 0.8 one in 1,000); ``agree=0`` verifies all.
+
+Every shuffle is of digests, samples or of the texts of candidates; nothing is collected but the sketch and a Bloom
+filter of bounded size, which keeps texts that are no candidates out of a shuffle.
 Texts without a word (null, empty, white space) and rows with a null doc_id are never duplicates.  Rows that share a
-doc_id are one class.  Extra columns pass through ``dedup`` and are ignored otherwise.
+doc_id are one document; if their texts differ, they take the smallest class of any, and the text of the smallest digest
+stands for the id in comparisons where it is the smallest of its text.  Extra columns pass through ``dedup`` and are ignored otherwise; clashing names don't matter.
 """
 
 from __future__ import annotations
@@ -29,7 +35,6 @@ from __future__ import annotations
 import functools
 import hashlib
 import math
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,22 +42,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from .common import Hashes, mix, pieces, read_table, seeded, ship, utf8, with_hot_keys, words_of, written
+from .common import Hashes, arrow, discard, mix, pieces, read_table, seeded, ship, total, utf8, words_of, written
 from .components import components
 
 SHINGLE = 5
 SIMILARITY = 0.8
 DAMPING = 0.2
+RARE = 0.001
 BANDS, ROWS = 10, 3
 #: The first BANDS * ROWS draws make the bands; all of them tell whether a pair is worth verifying.
-DRAWS = 120
-AGREE = 82
+DRAWS = 64
+AGREE = 41
+ROWS_OF_CELLS = 2
 CELL_BITS = 20
 CELLS = 1 << CELL_BITS
-PARTS = 16
 SALT = 4096
 HUB = 256
+#: Bytes of text that ask at once, and texts that are asked, in a task of step 5.
+ASKS, TOLD = 1 << 23, 4096
+#: The Bloom filter has 16 bits a text, up to so many in all; beyond that it lets more texts through.
+MOST_BITS = 1 << 27
 _U = np.uint64
 
 
@@ -91,51 +102,68 @@ def features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return f[where], np.diff(np.append(where, len(f))), np.searchsorted(where, offsets)
 
 
-def _cells(f: np.ndarray) -> np.ndarray:
-    return (f >> _U(64 - CELL_BITS)).astype(np.int64)
+# --- idf ------------------------------------------------------------------------------------------------------
 
 
-# --- document frequencies -------------------------------------------------------------------------------------
+def _cells(f: np.ndarray) -> list[np.ndarray]:
+    """The cell of each shingle in each row of the sketch."""
+    at = [f >> _U(64 - CELL_BITS), (f << _U(CELL_BITS)) >> _U(64 - CELL_BITS)]
+    return [x.astype(np.int64) + k * CELLS for k, x in enumerate(at)]
 
-_COUNTED = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("docs", T.LongType()), T.StructField("packed", T.BinaryType())])
 
+def _count(table: np.ndarray, batch: pa.RecordBatch) -> None:
+    data, at = utf8(batch.column(0))
+    for i, j in pieces(at):
+        f = features(data[at[i] : at[j]], at[i : j + 1])[0]
+        for k, cells in enumerate(_cells(f)):
+            table[k * CELLS : (k + 1) * CELLS] += np.bincount(cells - k * CELLS, minlength=CELLS)
 
-def _packed(table: np.ndarray, docs: int) -> pa.RecordBatch:
-    rows = np.split(table, PARTS)
-    return pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([docs] + [0] * (PARTS - 1), pa.int64()), pa.array([zlib.compress(r.astype(np.int64).tobytes(), 1) for r in rows], pa.binary())], names=_COUNTED.names)
 
+def idf_table(docs: DataFrame, text: str = "text") -> np.ndarray:
+    """The idf by cell, over all documents."""
+    table, n = total(docs.select(text), _count, ROWS_OF_CELLS * CELLS, np.int64, np.add)
+    load = table[:CELLS].sum() / CELLS  # what other shingles add to a cell on average
+    share = np.maximum(table - load, 1) / max(n, 1)
+    return (1 + DAMPING * np.log(1 / share.clip(RARE, 1)) / math.log(1 / RARE)).astype(np.float32)
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    table, docs = np.zeros(CELLS, np.int64), 0
-    for batch in batches:
-        data, at = utf8(batch.column(0))
-        docs += len(batch)
-        for i, j in pieces(at):
-            table += np.bincount(_cells(features(data[at[i] : at[j]], at[i : j + 1])[0]), minlength=CELLS)
-    if docs:
-        yield _packed(table, docs)
 
+def weights(f: np.ndarray, n: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Of shingles with their counts."""
+    return n * functools.reduce(np.maximum, [idf[cells] for cells in _cells(f)])
 
-def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums: dict[int, np.ndarray] = {}
-    docs: dict[int, int] = {}
-    for batch in batches:
-        for part, n, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            x = np.frombuffer(zlib.decompress(packed), np.int64)
-            sums[part] = sums[part] + x if part in sums else x
-            docs[part] = docs.get(part, 0) + n
-    if sums:
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([docs[p] for p in sums], pa.int64()), pa.array([zlib.compress(s.tobytes(), 1) for s in sums.values()], pa.binary())], names=_COUNTED.names)
 
+def _bits(ids: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    h = mix(ids.view(_U) + _U(0x9E3779B97F4A7C15))
+    return (h & _U(size - 1)).astype(np.int64), ((h >> _U(32)) & _U(size - 1)).astype(np.int64)
 
-def idf_table(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """The idf by cell, over all documents."""
-    sums = docs.select(text).mapInArrow(_count, _COUNTED).repartition(PARTS, "part").mapInArrow(_add, _COUNTED).collect()
-    table, n = np.zeros((PARTS, CELLS // PARTS)), 0
-    for part, docs_, packed in sums:
-        table[part] = np.frombuffer(zlib.decompress(packed), np.int64)
-        n += docs_
-    return (1 + DAMPING * (np.log((n + 1) / (table.reshape(-1) + 1)).clip(0) / math.log(n + 2))).astype(np.float32)
+
+def _texts_of(named: DataFrame, ids: DataFrame, several: DataFrame | None) -> DataFrame:
+    """(id, text) of documents, all of ``ids`` among them: others pass a Bloom filter seldom."""
+    wanted = ids.count()
+    size = min(MOST_BITS, 1 << max(16, (16 * wanted).bit_length()))
+
+    def fill(table: np.ndarray, batch: pa.RecordBatch) -> None:
+        for at in _bits(batch.column(0).to_numpy(), size):
+            np.bitwise_or.at(table, at >> 3, (1 << (at & 7)).astype(np.uint8))
+
+    bits, _ = total(ids, fill, size // 8, np.uint8, np.bitwise_or)
+    shared = named.sparkSession.sparkContext.broadcast(bits)
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit = np.ones(len(batch), bool)
+            for at in _bits(batch.column(0).to_numpy(), size):
+                hit &= (shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+            if hit.any():
+                yield batch.filter(pa.array(hit))
+
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("text", T.StringType())])
+    found = arrow(named.select(F.col("doc_id").alias("id"), "text"), some, schema)
+    if several is not None:  # ids repeat: the text that was sampled stands for one
+        found = found.withColumn("digest", F.unhex(F.md5("text"))).join(several, ["id", "digest"]).groupBy("id").agg(F.first("text").alias("text"))
+    out = written(found, "candidates")
+    shared.destroy()
+    return out
 
 
 # --- sampling -------------------------------------------------------------------------------------------------
@@ -172,245 +200,137 @@ def sample(f: np.ndarray, weight: np.ndarray, offsets: np.ndarray) -> np.ndarray
     return out
 
 
-_SAMPLED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("samples", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+_SAMPLED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("samples", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("size", T.LongType())])
 
 
 def _sample(batches: Iterator[pa.RecordBatch], idf: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """One row a document; those without a word have no digest."""
     factor = seeded(ROWS, 13) | _U(1)
     for batch in batches:
         data, at = utf8(batch.column(1))
         for i, j in pieces(at):
             own, ends = data[at[i] : at[j]], at[i : j + 1] - at[i]
             f, n, offsets = features(own, ends)
-            got = sample(f, n * idf[_cells(f)], offsets)
+            got = sample(f, weights(f, n, idf), offsets)
             bands = mix((got[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS) * factor).sum(2, dtype=_U) + np.arange(BANDS, dtype=_U)).view(np.int64)
-            raw = own.tobytes()
-            keep = np.flatnonzero(np.diff(offsets))
-            digests = [hashlib.blake2b(raw[ends[k] : ends[k + 1]], digest_size=16).digest() for k in keep.tolist()]
-            small = (got[keep] >> _U(56)).astype(np.uint8)
+            raw, some = own.tobytes(), np.diff(offsets) > 0
+            digests = [hashlib.md5(raw[a:b]).digest() if x else None for a, b, x in zip(ends, ends[1:], some, strict=False)]
+            small = (got >> _U(56)).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([
-                batch.column(0).slice(i, j - i).take(pa.array(keep)), pa.array(digests, pa.binary()), pa.array([x.tobytes() for x in small], pa.binary()),
-                pa.ListArray.from_arrays(pa.array(np.arange(0, len(keep) * BANDS + 1, BANDS), pa.int32()), pa.array(bands[keep].reshape(-1))),
+                batch.column(0).slice(i, j - i), pa.array(digests, pa.binary()), pa.array([x.tobytes() for x in small], pa.binary()),
+                pa.ListArray.from_arrays(pa.array(np.arange(0, (j - i) * BANDS + 1, BANDS), pa.int32()), pa.array(bands.reshape(-1))),
+                pa.array(np.diff(ends)),
             ], names=_SAMPLED.names)
 
 
 # --- buckets --------------------------------------------------------------------------------------------------
 
-#: kind 0: a text of a bucket of two or more; 1: a pair; 2: a leader of a salted bucket.
-_MET = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("key", T.LongType()), T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("samples", T.BinaryType())])
+#: b null: a leads in a part of a bucket of several parts; else a pair.
+_MET = T.StructType([T.StructField("key", T.LongType()), T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
 def _signatures(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, DRAWS)
 
 
-class _Rows:
-    """Rows gathered for one output batch."""
-
-    def __init__(self):
-        self.rows: list[tuple] = []
+def agreements(sig: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """In how many draws rows agree (one row on either side stands for all): bytes of a xor that are zero."""
+    x = sig.view(_U) ^ other.view(_U)
+    low = _U(0x7F7F7F7F7F7F7F7F)
+    return DRAWS - np.bitwise_count((((x & low) + low) | x) & ~low).sum(-1, dtype=np.int64)
 
-    def full(self) -> bool:
-        return len(self.rows) >= 20_000
 
-    def batch(self) -> pa.RecordBatch:
-        from pyspark.sql.pandas.types import to_arrow_schema
+def agreeing(told: np.ndarray, asks: np.ndarray, agree: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows that agree in ``agree`` draws or more.
 
-        schema = to_arrow_schema(_MET)
-        out = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*self.rows, strict=True), schema, strict=True)], schema=schema)
-        self.rows = []
-        return out
+    One bit of each sample makes a vector of signs; ``agree`` draws in common leave at most DRAWS - agree opposite
+    signs, so a matrix product of the signs tells which pairs are worth counting.
+    """
+    signs = [(x & 1).astype(np.float32) * 2 - 1 for x in (told, asks)]
+    i, j = np.nonzero(signs[0] @ signs[1].T >= 2 * agree - DRAWS - 0.5)
+    hit = np.zeros(len(i), bool)
+    for k in range(0, len(i), 1 << 16):
+        part = slice(k, k + (1 << 16))
+        hit[part] = agreements(told[i[part]], asks[j[part]]) >= agree
+    return i[hit], j[hit]
 
 
-def cluster(sig: np.ndarray) -> np.ndarray:
+def cluster(sig: np.ndarray, agree: int) -> np.ndarray:
     """The leader of each text of a bucket (its own row for leaders), the most central texts leading first.
 
-    Central is who agrees most with the others (in large buckets: with the commonest sample of each draw): a leader near
-    the middle of a group of near copies links to most of it, where an arbitrary one might link to none.
+    Central is who agrees most with all the others: a leader near the middle of a group of near copies links to most of
+    it, where an arbitrary one might link to none.
     """
-    m = len(sig)
-    if m <= 48:
-        central = (sig[:, None, :] == sig[None, :, :]).sum((1, 2))
-    else:
-        central = np.zeros(m, np.int64)
-        for j in range(sig.shape[1]):
-            value, n = np.unique(sig[:, j], return_counts=True)
-            central += sig[:, j] == value[n.argmax()]
-    leader = np.full(m, -1)
+    cell = sig + np.arange(sig.shape[1]) * 256
+    central = np.bincount(cell.reshape(-1), minlength=sig.shape[1] * 256)[cell].sum(1)
+    leader = np.full(len(sig), -1)
     for k in np.argsort(-central, kind="stable").tolist():
         if leader[k] < 0:
-            near = (leader < 0) & ((sig == sig[k]).sum(1) >= AGREE)
-            leader[near] = k
+            open_ = np.flatnonzero(leader < 0)
+            leader[open_[agreements(sig[open_], sig[k]) >= agree]] = k
             leader[k] = k
     return leader
 
 
-def _lead(batches: Iterator[pa.RecordBatch], members: bool, most: int = 2 * SALT) -> Iterator[pa.RecordBatch]:
-    """Rows (key, salt, id, samples) sorted by key and salt; salt -1: the bucket isn't salted.
-
-    A bucket is taken whole, or ``most`` texts at a time with the leaders so far, so memory is bounded.
-    """
-    out = _Rows()
-    key, salt, rep = (np.zeros(0, np.int64) for _ in range(3))
-    sig, told = np.zeros((0, DRAWS), np.uint8), np.zeros(0, bool)  # told: came out as a member already
-
-    def take(i: int, j: int) -> np.ndarray:
-        leader = cluster(sig[i:j])
-        if members:
-            for k in range(i, j):
-                if not told[k]:
-                    out.rows.append((0, int(key[k]), int(rep[k]), None, sig[k].tobytes()))
-        for k in np.flatnonzero(leader != np.arange(j - i)).tolist():
-            out.rows.append((1, None, int(rep[i + leader[k]]), int(rep[i + k]), None))
-        return np.flatnonzero(leader == np.arange(j - i)) + i
-
-    def close(i: int, j: int) -> None:
-        if j - i > 1 or salt[i] >= 0:
-            leaders = take(i, j).tolist()
-            for k in leaders if salt[i] >= 0 else ():
-                out.rows.append((2, int(key[k]), int(rep[k]), None, sig[k].tobytes()))
-
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
+    """The rows of each key (the first ``keys`` columns, by which they are sorted) as one batch."""
+    held: list[pa.RecordBatch] = []
     for batch in batches:
         if not len(batch):
             continue
-        more = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
-        key, salt, rep = (np.concatenate(x) for x in zip((key, salt, rep), more, strict=True))
-        sig, told = np.concatenate((sig, _signatures(batch.column(3)))), np.concatenate((told, np.zeros(len(batch), bool)))
-        edge = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])))
-        full = np.flatnonzero((np.diff(edge) > 1) | (salt[edge[:-1]] >= 0))
-        for g in full.tolist():
-            close(int(edge[g]), int(edge[g + 1]))
-            if out.full():
-                yield out.batch()
-        rest = np.arange(edge[-1], len(key))  # may go on in the next batch
-        if len(rest) > most:
-            rest = take(int(rest[0]), len(key))
-            told[rest] = True
-        key, salt, rep, sig, told = key[rest], salt[rest], rep[rest], sig[rest], told[rest]
-    if len(key):
-        close(0, len(key))
-    if out.rows:
-        yield out.batch()
-
-
-def _again(batches: Iterator[pa.RecordBatch], best: int) -> Iterator[pa.RecordBatch]:
-    """Rows (key, chunk, asks, id, component, samples, weight, shared) sorted by key, chunk and asks first.
-
-    Pairs across components that agree well enough and may be similar: no more than the smaller shared weight of the two can
-    be common to them.  ``best``: of each asking text only so many pairs, those that agree best; 0: all.
-    """
-    out = _Rows()
-    now = None
-    asking: list[tuple] = []
-    block: tuple | None = None
-    top: np.ndarray | None = None  # best agreement and partner of each asking text
-    partner: np.ndarray | None = None
-
-    def tell() -> None:
-        if best and block is not None:
-            for k in np.flatnonzero(top.any(1)).tolist():
-                for other in partner[k][top[k] > 0].tolist():
-                    a, b = other, int(block[0][k])
-                    out.rows.append((1, None, min(a, b), max(a, b), None))
-
-    for batch in batches:
-        if not len(batch):
-            continue
-        key, chunk, asks, rep, comp = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
-        weight, shared = (batch.column(k).to_numpy(zero_copy_only=False) for k in (6, 7))
-        sig = _signatures(batch.column(5))
-        for i in range(len(batch)):
-            at = (key[i], chunk[i])
-            if at != now:
-                tell()
-                now, asking, block = at, [], None
-            if asks[i]:
-                asking.append((rep[i], comp[i], sig[i], weight[i], shared[i]))
-                continue
-            if not asking:
-                continue
-            if block is None:
-                block = tuple(np.array(x) for x in zip(*asking, strict=True))
-                top, partner = (np.zeros((len(asking), max(1, best)), np.int64) for _ in range(2))
-            low = np.minimum(block[4], shared[i])
-            may = (block[1] != comp[i]) & (low >= (SIMILARITY - 1e-6) * (block[3] + weight[i] - low))
-            may = np.flatnonzero(may)
-            agree = (block[2][may] == sig[i]).sum(1)
-            if best:
-                least = top[may].argmin(1)
-                better = (agree >= AGREE) & (agree > top[may, least])
-                top[may[better], least[better]], partner[may[better], least[better]] = agree[better], rep[i]
-                continue
-            for k in may[agree >= AGREE].tolist():
-                a, b = int(rep[i]), int(block[0][k])
-                out.rows.append((1, None, min(a, b), max(a, b), None))
-            if out.full():
-                yield out.batch()
-    tell()
-    if out.rows:
-        yield out.batch()
-
-
-# --- bounds ---------------------------------------------------------------------------------------------------
-
-FINE_BITS = 22
-_SEEN = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("packed", T.BinaryType())])
-_BOUND = T.StructType([T.StructField("id", T.LongType()), T.StructField("weight", T.DoubleType()), T.StructField("shared", T.DoubleType())])
-
-
-def _fine(f: np.ndarray) -> np.ndarray:
-    return (f >> _U(64 - FINE_BITS)).astype(np.int64)
-
-
-def _seen_rows(table: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in np.split(table, PARTS)], pa.binary())], names=_SEEN.names)
-
-
-def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each cell, in how many of the texts it occurs: 0, 1, or 2 and more."""
-    table = np.zeros(1 << FINE_BITS, np.uint8)
-    some = False
-    for batch in batches:
-        data, at = utf8(batch.column(0))
-        for i, j in pieces(at):
-            cells, n = np.unique(_fine(features(data[at[i] : at[j]], at[i : j + 1])[0]), return_counts=True)
-            table[cells] = np.minimum(2, table[cells] + np.minimum(n, 2)).astype(np.uint8)
-            some = True
-    if some:
-        yield _seen_rows(table)
-
-
-def _seen_add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for part, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            x = np.frombuffer(zlib.decompress(packed), np.uint8)
-            sums[part] = np.minimum(sums[part] + x, 2) if part in sums else x
-    if sums:
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in sums.values()], pa.binary())], names=_SEEN.names)
-
-
-def _bound(batches: Iterator[pa.RecordBatch], twice: np.ndarray, idf: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        data, at = utf8(batch.column(1))
-        for i, j in pieces(at):
-            f, n, offsets = features(data[at[i] : at[j]], at[i : j + 1])
-            w = n * idf[_cells(f)].astype(np.float64)
-            sums = [np.concatenate(([0.0], np.cumsum(x))) for x in (w, np.where(twice[_fine(f)], w, 0.0))]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *[pa.array(x[offsets[1:]] - x[offsets[:-1]]) for x in sums]], names=_BOUND.names)
-
-
-def _bounds(texts: DataFrame, idf) -> DataFrame:
-    """Per id the weight of its shingles, and of those that another of the texts may hold too.
-
-    Shingles are looked up in a table of 2 ** FINE_BITS cells, a fixed size; a collision makes a bound too high, never too low.
-    """
-    seen = texts.select("text").mapInArrow(_seen, _SEEN).repartition(PARTS, "part").mapInArrow(_seen_add, _SEEN).collect()
-    table = np.zeros((PARTS, (1 << FINE_BITS) // PARTS), np.uint8)
-    for part, packed in seen:
-        table[part] = np.frombuffer(zlib.decompress(packed), np.uint8)
-    twice = texts.sparkSession.sparkContext.broadcast(table.reshape(-1) >= 2)
-    return texts.select("id", "text").mapInArrow(lambda it: _bound(it, twice.value, idf.value), _BOUND)
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(keys)]
+        edge = np.flatnonzero(functools.reduce(np.logical_or, [c[1:] != c[:-1] for c in columns])) + 1
+        for s, e in zip([0, *edge.tolist()], [*edge.tolist(), len(batch)], strict=True):
+            if held and any(held[-1].column(k)[0] != batch.column(k)[s] for k in range(keys)):
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held = []
+            held.append(batch.slice(s, e - s))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def _lead(batches: Iterator[pa.RecordBatch], agree: int) -> Iterator[pa.RecordBatch]:
+    """Rows (key, part, parts, id, samples) sorted by key and part: a part of about SALT texts at a time."""
+    rows: list[tuple] = []
+    for group in _groups(batches, 2):
+        key, parts = group.column(0)[0].as_py(), group.column(2)[0].as_py()
+        ids = group.column(3).to_pylist()
+        leader = cluster(_signatures(group.column(4)), agree).tolist()
+        rows += [(key, ids[x], ids[k]) for k, x in enumerate(leader) if x != k]
+        if parts > 1:
+            rows += [(key, ids[k], None) for k, x in enumerate(leader) if x == k]
+        if len(rows) > 20_000:
+            yield _rows(rows, _MET)
+            rows = []
+    if rows:
+        yield _rows(rows, _MET)
+
+
+def _rows(rows: list[tuple], schema: T.StructType) -> pa.RecordBatch:
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema = to_arrow_schema(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
+def _stars(members: DataFrame, samples: DataFrame, agree: int) -> DataFrame:
+    """Pairs (a, b) of texts and leaders of ``members`` (key, id, n): at most one a text and bucket."""
+    tables, before = [], None
+    while True:
+        parts = F.ceil(F.col("n") / SALT).cast("int")
+        dealt = members.join(samples, "id").select("key", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"), parts.alias("parts"), "id", "samples")
+        met = written(arrow(dealt.repartition("key", "part").sortWithinPartitions("key", "part", "id"), lambda it: _lead(it, agree), _MET), "met")
+        tables.append(met)
+        heads = met.where("b IS NULL").select("key", F.col("a").alias("id"))
+        n = heads.count()
+        if not n or before is not None and 2 * n > before:  # what hardly shrinks has little to agree on; step 5 compares it
+            break
+        before = n
+        members = written(heads.join(heads.groupBy("key").agg(F.count("*").alias("n")), "key"), "heads")
+    pairs = functools.reduce(DataFrame.unionByName, tables).where("b IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = written(pairs, "pairs")
+    discard(*tables)
+    return pairs
 
 
 # --- verification ---------------------------------------------------------------------------------------------
@@ -435,7 +355,7 @@ def _verify(batches: Iterator[pa.RecordBatch], idf: np.ndarray) -> Iterator[pa.R
         found: list[tuple[int, int, float]] = []
         for i, j in pieces(at):
             f, n, offsets = features(data[at[i] : at[j]], at[i : j + 1])
-            w = (n * idf[_cells(f)]).astype(np.float64)
+            w = weights(f, n, idf).astype(np.float64)
             for d in range(i, j):
                 own = slice(offsets[d - i], offsets[d - i + 1])
                 if side[d] == 0:
@@ -443,73 +363,213 @@ def _verify(batches: Iterator[pa.RecordBatch], idf: np.ndarray) -> Iterator[pa.R
                 elif hub is not None and now == (key[d], chunk[d]):
                     found.append((int(key[d]), int(rep[d]), weighted_jaccard(*hub, f[own], w[own])))
         if found:
-            a, b, s = zip(*found, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.float64())], names=_LINK.names)
+            yield _rows(found, _LINK)
 
 
 def _links(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
     """Verified pairs (a, b, similarity): a's text meets those of its pairs in chunks of about HUB."""
-    hubs = pairs.groupBy("a").agg(F.ceil(F.count("*") / HUB).cast("int").alias("chunks"), F.count("*").alias("n"))
-    others = with_hot_keys(pairs, hubs, "a", "n").select("a", F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int").alias("chunk"), F.lit(1).alias("side"), F.col("b").alias("id")).join(texts, "id")
+    hubs = pairs.groupBy("a").agg(F.ceil(F.count("*") / HUB).cast("int").alias("chunks"))
+    others = pairs.join(hubs, "a").select("a", F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int").alias("chunk"), F.lit(1).alias("side"), F.col("b").alias("id")).join(texts, "id")
     heads = hubs.select("a", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("side"), F.col("a").alias("id")).join(texts, "id")
     columns = ["a", "chunk", "side", "id", "text"]
     dealt = heads.select(*columns).unionByName(others.select(*columns)).repartition("a", "chunk").sortWithinPartitions("a", "chunk", "side")
-    return dealt.mapInArrow(lambda it: _verify(it, idf.value), _LINK).where(F.col("similarity") >= SIMILARITY)
+    return arrow(dealt, lambda it: _verify(it, idf.value), _LINK).where(F.col("similarity") >= SIMILARITY)
+
+
+# --- what is left between components --------------------------------------------------------------------------
+
+_ASKED = T.StructType([T.StructField("main", T.LongType()), T.StructField("ask", T.IntegerType()), T.StructField("told", T.IntegerType()), T.StructField("side", T.IntegerType()), T.StructField("id", T.LongType()), T.StructField("comp", T.LongType()), T.StructField("samples", T.BinaryType())])
 
 
-def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def _in_question(batches: Iterator[pa.RecordBatch], agree: int) -> Iterator[pa.RecordBatch]:
+    """Rows of ``_ASKED`` sorted by main, ask, told and side (0: asks): those that agree with one of another component."""
+    now, held, asks, comp, sig, hit = None, [], None, None, None, None
+
+    def close() -> Iterator[pa.RecordBatch]:
+        if hit is not None and hit.any():
+            yield asks.filter(pa.array(hit))
+
+    for whole in batches:
+        if not len(whole):
+            continue
+        columns = [whole.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
+        edge = (np.flatnonzero(functools.reduce(np.logical_or, [c[1:] != c[:-1] for c in columns])) + 1).tolist()
+        for s, e in zip([0, *edge], [*edge, len(whole)], strict=True):
+            key = tuple(int(c[s]) for c in columns[:3])
+            if key != now:
+                yield from close()
+                now, held, hit = key, [], None
+            if columns[3][s] == 0:
+                held.append(whole.slice(s, e - s))
+                continue
+            if not held:
+                continue
+            if hit is None:
+                asks = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                comp, sig = asks.column(5).to_numpy(), _signatures(asks.column(6))
+                hit, most = np.zeros(len(asks), bool), max(16, (1 << 21) // len(asks))
+            for k in range(s, e, most):
+                told = whole.slice(k, min(most, e - k))
+                i, j = agreeing(_signatures(told.column(6)), sig, agree)
+                apart = told.column(5).to_numpy()[i] != comp[j]
+                hit[j[apart]] = True
+                some = np.unique(i[apart])
+                if len(some):
+                    yield told.take(pa.array(some))
+    yield from close()
+
+
+class _Block:
+    """Texts that ask: their shingles by number, and the components they are in so far."""
+
+    def __init__(self, rows: list[tuple]):
+        self.ids, self.comp, sig, f, w = zip(*rows, strict=True)
+        self.comp = np.array(self.comp)
+        self.sig = np.stack(sig)
+        sizes = np.array([len(x) for x in f])
+        self.known, self.code = np.unique(np.concatenate(f), return_inverse=True)
+        self.w = np.concatenate(w)
+        self.at = np.concatenate(([0], np.cumsum(sizes)))
+        self.total = np.add.reduceat(self.w, self.at[:-1])
+        self.theirs = np.zeros(len(self.known) + 1)
+        self.parent: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while x in self.parent:
+            x = self.parent[x]
+        return x
+
+    def ask(self, rep: int, comp: int, sig: np.ndarray, f: np.ndarray, w: np.ndarray, agree: int) -> list[tuple[int, int, float]]:
+        """Links that join components between this text and those that ask, the best pair of each component first."""
+        out = []
+        comp = self.root(comp)
+        total = float(w.sum())
+        may = np.flatnonzero((self.comp != comp) & (np.minimum(self.total, total) >= (SIMILARITY - 1e-9) * np.maximum(self.total, total)))
+        score = agreements(self.sig[may], sig)
+        order = np.argsort(-score, kind="stable")
+        may = may[order[score[order] >= agree]]
+        if not len(may):
+            return out
+        at = np.minimum(np.searchsorted(self.known, f), len(self.known) - 1)
+        at[self.known[at] != f] = len(self.known)
+        self.theirs[at] = w
+        self.theirs[-1] = 0
+        while len(may):
+            _, best = np.unique(self.comp[may], return_index=True)
+            tried = may[best]
+            sizes = self.at[tried + 1] - self.at[tried]
+            cut = np.cumsum(sizes) - sizes
+            cell = np.arange(sizes.sum()) + np.repeat(self.at[tried] - cut, sizes)
+            low = np.add.reduceat(np.minimum(self.w[cell], self.theirs[self.code[cell]]), cut)
+            similarity = low / (self.total[tried] + total - low)
+            for k in np.flatnonzero(similarity >= SIMILARITY).tolist():
+                out.append((min(rep, self.ids[tried[k]]), max(rep, self.ids[tried[k]]), float(similarity[k])))
+                old = self.comp[tried[k]]
+                self.parent[int(old)] = int(comp)
+                self.comp[self.comp == old] = comp
+            may = np.delete(may, best)
+            may = may[self.comp[may] != comp]
+        self.theirs[at] = 0
+        return out
+
+
+def _join(batches: Iterator[pa.RecordBatch], idf: np.ndarray, agree: int) -> Iterator[pa.RecordBatch]:
+    """Rows of ``_ASKED`` with texts, sorted likewise: verified links that join components."""
+    now, asks, block = None, [], None
+    for batch in batches:
+        main, ask, told, side, rep, comp = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(6))
+        sig, (data, at) = _signatures(batch.column(6)), utf8(batch.column(7))
+        found: list[tuple[int, int, float]] = []
+        for i, j in pieces(at):
+            f, n, offsets = features(data[at[i] : at[j]], at[i : j + 1])
+            w = weights(f, n, idf).astype(np.float64)
+            for d in range(i, j):
+                own = slice(offsets[d - i], offsets[d - i + 1])
+                if (key := (main[d], ask[d], told[d])) != now:
+                    now, asks, block = key, [], None
+                if side[d] == 0:
+                    asks.append((int(rep[d]), int(comp[d]), sig[d], f[own].copy(), w[own].copy()))
+                elif asks:
+                    block = block or _Block(asks)
+                    found += block.ask(int(rep[d]), int(comp[d]), sig[d], f[own], w[own], agree)
+        if found:
+            yield _rows(found, _LINK)
+
+
+def _between(members: DataFrame, reps: DataFrame, roots: DataFrame, named: DataFrame, several: DataFrame | None, idf, agree: int) -> DataFrame:
+    """Links (a, b, similarity) that join components which meet in buckets."""
+    placed = members.join(roots.withColumnRenamed("v", "id"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("comp"))
+    parts = placed.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    mixed = parts.groupBy("key").agg(F.max_by("comp", F.struct("n", -F.col("comp"))).alias("main"), F.count("*").alias("comps")).where("comps > 1").select("key", "main")
+    held = written(placed.join(mixed, "key").select("main", "id", "comp").distinct().join(reps.select("id", "samples", "size"), "id"), "mixed")
+    asks = F.col("comp") != F.col("main")
+    sizes = held.groupBy("main").agg(F.ceil(F.sum(F.when(asks, F.col("size"))) / ASKS).cast("int").alias("asks"), F.ceil(F.count("*") / TOLD).cast("int").alias("tolds"))
+    parted = held.join(sizes, "main")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    part = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")
+    asking = parted.where(asks).select("main", part("asks").alias("ask"), every("tolds").alias("told"), F.lit(0).alias("side"), "id", "comp", "samples")
+    asked = parted.select("main", every("asks").alias("ask"), part("tolds").alias("told"), F.lit(1).alias("side"), "id", "comp", "samples")
+    keys = ("main", "ask", "told")
+    dealt = asking.unionByName(asked).repartition(*keys).sortWithinPartitions(*keys, "side")
+    open_ = written(arrow(dealt, lambda it: _in_question(it, agree), _ASKED), "question")
+    texts = _texts_of(named, open_.select("id").distinct(), several)
+    dealt = open_.join(texts, "id").select(*_ASKED.names, "text").repartition(*keys).sortWithinPartitions(*keys, "side")
+    links = written(arrow(dealt, lambda it: _join(it, idf.value, agree), _LINK), "joins")
+    discard(held, open_, texts)
+    return links
+
+
+def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", agree: int = AGREE) -> DataFrame:
     """Per row doc_id, class_id (smallest doc_id of its class) and kept (the class's smallest)."""
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     named = rows.where(F.col("doc_id").isNotNull())
     idf = spark.sparkContext.broadcast(idf_table(rows))
-    sampled = written(named.mapInArrow(lambda it: _sample(it, idf.value), _SAMPLED), "samples")
-    reps = written(sampled.groupBy("digest").agg(F.min("doc_id").alias("id"), F.count("*").alias("n"), F.first("samples").alias("samples"), F.first("bands").alias("bands")), "texts")
-
-    banded = reps.select(F.explode("bands").alias("key"), "id", "samples")
-    crowded = banded.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > SALT).orderBy(F.desc("n"), "key").limit(1000)
-    salted = banded.join(F.broadcast(crowded), "key", "left").select("key", F.when(F.col("n").isNull(), -1).otherwise(F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / SALT))).cast("int").alias("salt"), "id", "samples")
-    met = written(salted.repartition("key", "salt").sortWithinPartitions("key", "salt", "id").mapInArrow(lambda it: _lead(it, True), _MET), "buckets")
-    heads = met.where("kind = 2").select("key", F.lit(-1).alias("salt"), F.col("a").alias("id"), "samples").repartition("key").sortWithinPartitions("key", "id").mapInArrow(lambda it: _lead(it, False), _MET)
-    pairs = written(met.where("kind = 1").unionByName(heads.where("kind = 1")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-
-    member = met.where("kind = 0").select("key", F.col("a").alias("id"), "samples")
-    wanted = member.select("id").distinct()
-    texts = written(named.withColumnRenamed("doc_id", "id").join(wanted, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text")), "candidates")
+    sampled = written(arrow(named, lambda it: _sample(it, idf.value), _SAMPLED), "samples")
+    one_row = not sampled.groupBy("doc_id").count().where("count > 1").take(1)
+    reps = sampled.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("id"), *[F.first(c).alias(c) for c in ("samples", "bands", "size")])
+    every = reps = written(reps, "texts")
+    if not one_row:
+        reps = reps.withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy("digest"))).where("nth = 1").drop("nth")
+    several = None if one_row else reps.select("id", "digest")
+    banded = reps.select(F.explode("bands").alias("key"), "id")
+    members = written(banded.join(banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"), "members")
+
+    pairs = _stars(members, reps.select("id", "samples"), agree)
+    texts = _texts_of(named, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), several)
     links = written(_links(pairs, texts, idf), "links")
+    discard(texts, pairs)
     roots = components(links.select("a", "b"))
+    joins = _between(members, reps, roots, named, several, idf, agree)
+    roots = components(links.unionByName(joins).select("a", "b"))
 
-    bounds = None
-    for best in (16, 0):  # most of what is left joins by its best pairs; then all pairs across components
-        placed = member.join(roots.withColumnRenamed("v", "id"), "id", "left").withColumn("comp", F.coalesce("root", "id")).select("key", "id", "comp", "samples")
-        parts = placed.groupBy("key", "comp").agg(F.count("*").alias("n"))
-        mixed = parts.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("n_main")).where(F.col("n") > F.col("n_main"))
-        mixed = written(mixed.withColumn("chunks", F.ceil((F.col("n") - F.col("n_main")) / 2048).cast("int")), "mixed")
-        apart = written(with_hot_keys(placed, mixed, "key", "n"), "apart")
-        if bounds is None:
-            bounds = written(_bounds(texts.join(apart.select("id").distinct(), "id", "left_semi"), idf), "bounds")
-        apart = apart.join(bounds, "id")
-        rest = ("id", "comp", "samples", "weight", "shared")
-        asks = apart.where(F.col("comp") != F.col("main")).select("key", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("chunk"), F.lit(True).alias("asks"), *rest)
-        told = apart.select("key", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(False).alias("asks"), *rest)
-        dealt = asks.unionByName(told).repartition("key", "chunk").sortWithinPartitions("key", "chunk", F.desc("asks"))
-        more = written(dealt.mapInArrow(lambda it, best=best: _again(it, best), _MET).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
-        pairs = pairs.unionByName(more)
-        links = links.unionByName(written(_links(more, texts, idf), "links"))
-        roots = components(links.select("a", "b"))
-
-    final = written(reps.select("digest", "id", "n").join(roots.withColumnRenamed("v", "id"), "id", "left").select("digest", F.coalesce("root", "id").alias("class_id"), "n"), "classes")
-    grouped = with_hot_keys(sampled.select("doc_id", "digest"), final, "digest", "n").groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
-    joined = rows.select("doc_id").join(grouped, "doc_id", "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
-    return joined.withColumn("kept", F.coalesce(F.col("class_id") == F.col("doc_id"), F.lit(True)))
+    found = every.select("digest", "id").join(roots.withColumnRenamed("v", "id"), "id", "left").select("digest", F.coalesce("root", "id").alias("class_id"))
+    grouped = sampled.select("doc_id", "digest").join(found, "digest", "left").groupBy("doc_id").agg(F.least(F.min("class_id"), F.col("doc_id")).alias("class_id"), F.count("*").alias("times"))
+    grouped = written(grouped, "classes")
+    idf.destroy()
+    discard(sampled, every, members, links, joins)
+    one = grouped.select("doc_id", "class_id", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("doc_id", "class_id", (F.col("class_id") == F.col("doc_id")).alias("kept"))
+    none = rows.where(F.col("doc_id").isNull()).select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(True).alias("kept"))
+    return one.unionByName(none)
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: of each class the smallest doc_id stays, once if rows repeat it."""
-    dropped = classes(docs, doc_id, text).where(~F.col("kept")).select(F.col("doc_id").alias("jl_gone")).distinct()
-    named = docs.where(F.col(doc_id).isNotNull()).join(dropped, F.col(doc_id) == F.col("jl_gone"), "left_anti").dropDuplicates([doc_id])
-    return named.unionByName(docs.where(F.col(doc_id).isNull()))
+    """The rows of ``docs`` without near-duplicates: of each class the smallest doc_id stays.
+
+    Rows that repeat doc_id and text (null and empty are one) stay once; a doc_id that stays keeps each of its different texts.
+    """
+    found = classes(docs, doc_id, text)
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("jl_gone")).distinct()
+    named = docs.where(F.col(doc_id).isNotNull()).join(gone, F.col(doc_id) == F.col("jl_gone"), "left_anti")
+    again = written(found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("jl_again")), "again")
+    none = docs.where(F.col(doc_id).isNull())
+    if not again.take(1):
+        return named.unionByName(none)
+    same = F.col(doc_id) == F.col("jl_again")
+    order = Window.partitionBy(doc_id, F.coalesce(F.col(text), F.lit(""))).orderBy(F.col(text).asc_nulls_last(), F.xxhash64(*docs.columns))
+    several = named.join(again, same, "left_semi").withColumn("jl_nth", F.row_number().over(order)).where("jl_nth = 1").drop("jl_nth")
+    return named.join(again, same, "left_anti").unionByName(several).unionByName(none)
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -56,7 +56,8 @@ def _similar(texts):
         w = WORD.findall(t or "")
         sets.append(collections.Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else collections.Counter())
     df = collections.Counter(k for s in sets for k in s)
-    weight = [{k: c * (1 + minhash.DAMPING * math.log((len(texts) + 1) / (df[k] + 1)) / math.log(len(texts) + 2)) for k, c in s.items()} for s in sets]
+    idf = {k: 1 + 0.2 * math.log(1 / max(n / len(texts), 0.001)) / math.log(1000) for k, n in df.items()}
+    weight = [{k: c * idf[k] for k, c in s.items()} for s in sets]
     out = []
     for a in range(len(texts)):
         for b in range(a):
@@ -137,6 +138,23 @@ def test_substrings(spark):
     assert got == expected
 
 
+def test_substrings_hot_anchors(spark, monkeypatch):
+    """A line in all texts, whole and in changing surroundings: its anchors are at more than HOT places."""
+    monkeypatch.setattr(substrings, "HOT", 5)
+    line, rng = prose(30, 5), random.Random(8)
+    rows = [(k, f"{prose(rng.randint(0, 12), 300 + k % 40)}\n{line}\n{prose(rng.randint(0, 12), 500 + k % 30)}") for k in range(120)] + [(500, line * 3), (501, line), (502, line), (503, "abcde" * 100)]
+    got = rows_of(substrings.spans(documents(spark, rows, 7)), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == _plain_spans(rows)
+
+
+def test_substrings_long_text(spark):
+    """Texts above the size of a piece, repeating themselves and each other."""
+    one = prose(120_000, 21)
+    rows = [(1, one), (2, "x" + one[300_000:] + prose(50, 3)), (3, prose(40, 4))]
+    got = rows_of(substrings.spans(documents(spark, rows)), "doc_id", "n_bytes", "n_removed", "n_spans")
+    assert got[1][1:] == (0, 0) and got[3][1:] == (0, 0) and got[2][1:] == (len(one) - 300_000, 1)
+
+
 def test_substrings_awkward_rows(spark):
     long = prose(60, 1)
     df = documents(spark, [(1, long), (1, long), (None, long), (2, long)])
