@@ -3,9 +3,12 @@ r"""WARC archives: write captures, read records back, assemble transactions.
 ``write`` makes three records a capture (request, response or revisit, metadata); the response and the metadata
 name their request in WARC-Concurrent-To.  A record ends in two CRLFs, which is the line separator of Spark's own
 text writer, so archives are written by the JVM, gzip-compressed, to any file system Spark knows, with task
-commit; a lost executor's files are written again.  ``read`` streams each archive by Content-Length, so text in a
-payload that looks like a record does no harm.  ``assemble`` joins the records of a transaction through the
-concurrent-to identifiers to one nested row a capture.
+commit; a lost executor's files are written again.  A file holds ``RECORDS`` records at most and is one gzip member.
+``read`` takes archives from Spark's text reader, two CRLFs being the end of a line, so a task holds a few lines and one
+record of an archive of any size; records are put together again by Content-Length, so text in a payload that looks like a
+record does no harm.  ``assemble`` joins the records of a transaction through all their concurrent-to identifiers to one
+nested row a capture: records that name the same one, and where records name several or one that names another in turn,
+the connected components of these identifiers.
 
 Equal payloads: the capture with the largest page_id is the response, all others revisit it and carry no payload.
 Null payloads count as empty; empty payloads are equal to each other.  A null page_id counts as the smallest.
@@ -15,9 +18,9 @@ Rows that repeat the largest page_id with the same payload are responses each.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
-import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,17 +28,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh_path, read_table, ship, with_hot_keys
+from .common import arrow, fresh_path, read_table, ship, written
+from .components import components
 
 CRLF = "\r\n"
+CRLF2 = b"\r\n\r\n"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+RECORDS = 30_000
 DATE = "2024-01-01T00:00:00Z"
 
 RECORD = T.StructType([
     T.StructField("record_id", T.StringType()), T.StructField("type", T.StringType()), T.StructField("concurrent_to", T.StringType()),
     T.StructField("refers_to", T.StringType()), T.StructField("target_uri", T.StringType()), T.StructField("date", T.StringType()),
     T.StructField("payload_digest", T.StringType()), T.StructField("head", T.StringType()), T.StructField("payload", T.BinaryType()),
-    T.StructField("payload_bytes", T.LongType()), T.StructField("actual_digest", T.StringType()),
+    T.StructField("payload_bytes", T.LongType()), T.StructField("actual_digest", T.StringType()), T.StructField("concurrent", T.ArrayType(T.StringType())),
 ])
 
 
@@ -70,7 +76,7 @@ def write(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url
     text = F.coalesce(F.col(html), F.lit(""))
     rows = pages.select(F.col(page_id).alias("page_id"), _one_line(F.col(url)).alias("url"), text.alias("html")).withColumn("sha", F.sha1(F.col("html").cast("binary")))
     roles = rows.groupBy("sha").agg(F.max("page_id").alias("last"), F.count("*").alias("n"))
-    rows = with_hot_keys(rows, roles, "sha", "n").withColumn("request", F.expr("uuid()"))
+    rows = rows.join(roles, "sha").withColumn("request", F.expr("uuid()"))
     rows = rows.withColumn("digest", _let(F.col("sha"), base32))
     uuid_of = lambda c: F.concat(F.lit("<urn:uuid:"), c, F.lit(">"))
     page_of = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(":"), F.col("digest"), F.lit(">"))
@@ -90,115 +96,134 @@ def write(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url
     metadata = _record("metadata", [("WARC-Record-ID", uuid_of(F.expr("uuid()"))), hub, target, ("Content-Type", F.lit("application/warc-fields"))],
                        F.concat(F.lit("page-id: "), F.coalesce(F.col("page_id").cast("string"), F.lit("null")), F.lit(CRLF)))
     middle = F.when(F.col("page_id").eqNullSafe(F.col("last")), response).otherwise(revisit)
-    rows.select(F.explode(F.array(request, middle, metadata)).alias("value")).write.option("lineSep", CRLF * 2).option("compression", "gzip").text(path)
+    rows.select(F.explode(F.array(request, middle, metadata)).alias("value")).write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", RECORDS).text(path)
 
 
 # --- reading --------------------------------------------------------------------------------------------------
 
 
-class _Stream:
-    """Bytes of a gzip or plain archive, inflated as they are asked for."""
-
-    def __init__(self, raw: bytes):
-        self.raw, self.at, self.buffer = raw, 0, bytearray()
-        self.gzip = raw[:2] == b"\x1f\x8b"
-        self.inflate = zlib.decompressobj(31)
-
-    def more(self) -> bool:
-        if self.at >= len(self.raw):
-            return False
-        part = self.raw[self.at : self.at + (1 << 18)]
-        self.at += len(part)
-        if not self.gzip:
-            self.buffer += part
-            return True
-        while part:
-            self.buffer += self.inflate.decompress(part)
-            part = self.inflate.unused_data
-            if self.inflate.eof:
-                self.inflate = zlib.decompressobj(31)
-        return True
-
-    def until(self, mark: bytes) -> bytes | None:
-        start = 0
-        while (p := self.buffer.find(mark, start)) < 0:
-            start = max(0, len(self.buffer) - len(mark))
-            if not self.more():
-                return None
-        out = bytes(self.buffer[:p])
-        del self.buffer[: p + len(mark)]
-        return out
-
-    def take(self, n: int) -> bytes:
-        while len(self.buffer) < n:
-            if not self.more():
-                raise ValueError(f"the archive ends {n - len(self.buffer)} bytes short of a record's length")
-        out = bytes(self.buffer[:n])
-        del self.buffer[:n]
-        return out
+class _Archive:
+    """The records of one archive, whose bytes come bit by bit."""
+
+    def __init__(self):
+        self.buffer, self.looked, self.fields, self.over = bytearray(), 0, None, False
+
+    def add(self, part: bytes) -> Iterator[dict]:
+        self.buffer += part
+        while True:
+            if self.fields is None:
+                end = self.buffer.find(CRLF2, self.looked)
+                if end == 0 and not self.over:  # the reader's end of the last line, where a block ends in CRLF
+                    self.over = True
+                    del self.buffer[: len(CRLF2)]
+                    continue
+                if end < 0:
+                    self.looked = max(0, len(self.buffer) - len(CRLF2))
+                    return
+                self.fields, self.looked = _fields(b"" if self.over else bytes(self.buffer[:end])), 0
+                del self.buffer[: end + len(CRLF2)]
+            size = int(self.fields["content-length"][0])
+            if len(self.buffer) < size + len(CRLF2):
+                return
+            if self.buffer[size : size + len(CRLF2)] != CRLF2:
+                raise ValueError("a record doesn't end in two CRLFs")
+            yield _parsed(self.fields, bytes(self.buffer[:size]))
+            del self.buffer[: size + len(CRLF2)]
+            self.fields = None
+
+    def close(self) -> None:
+        if self.fields is not None or self.buffer.strip(b"\r\n"):
+            raise ValueError(f"the archive ends within a record: {bytes(self.buffer[:80])!r}")
+
+
+def _fields(head: bytes) -> dict[str, list[str]]:
+    lines = head.decode("utf-8", "replace").split(CRLF)
+    if not lines[0].startswith("WARC/"):
+        raise ValueError(f"not a WARC record: {lines[0][:80]!r}")
+    fields: dict[str, list[str]] = {}
+    for line in lines[1:]:
+        name, _, value = line.partition(":")
+        fields.setdefault(name.strip().lower(), []).append(value.strip())
+    return fields
+
+
+def _parsed(fields: dict[str, list[str]], block: bytes) -> dict:
+    first = lambda name: fields.get(name, [None])[0]
+    http, payload = "", block
+    if (first("content-type") or "").startswith("application/http"):
+        top, _, payload = block.partition(CRLF2)
+        http = top.decode("utf-8", "replace")
+    said = re.search(r"(?im)^content-length:\s*(\d+)", http)
+    kind = first("warc-type")
+    return {
+        "record_id": first("warc-record-id"), "type": kind, "concurrent_to": first("warc-concurrent-to"), "refers_to": first("warc-refers-to"),
+        "target_uri": first("warc-target-uri"), "date": first("warc-date"), "payload_digest": first("warc-payload-digest"), "head": http, "payload": payload,
+        "payload_bytes": int(said[1]) if kind == "revisit" and said else len(payload),
+        "actual_digest": base64.b32encode(hashlib.sha1(payload).digest()).decode() if kind == "response" else None, "concurrent": fields.get("warc-concurrent-to"),
+    }
 
 
 def records_of(raw: bytes) -> Iterator[dict]:
-    """The records of one archive."""
-    stream = _Stream(raw)
-    while (head := stream.until(b"\r\n\r\n")) is not None:
-        lines = head.decode("utf-8", "replace").split(CRLF)
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"not a WARC record: {lines[0][:80]!r}")
-        fields = {}
-        for line in lines[1:]:
-            name, _, value = line.partition(":")
-            fields.setdefault(name.strip().lower(), value.strip())
-        block = stream.take(int(fields["content-length"]))
-        if stream.take(4) != b"\r\n\r\n":
-            raise ValueError("a record doesn't end in two CRLFs")
-        http, payload = "", block
-        if fields.get("content-type", "").startswith("application/http"):
-            top, _, payload = block.partition(b"\r\n\r\n")
-            http = top.decode("utf-8", "replace")
-        said = re.search(r"(?im)^content-length:\s*(\d+)", http)
-        kind = fields.get("warc-type")
-        yield {
-            "record_id": fields.get("warc-record-id"), "type": kind, "concurrent_to": fields.get("warc-concurrent-to"), "refers_to": fields.get("warc-refers-to"),
-            "target_uri": fields.get("warc-target-uri"), "date": fields.get("warc-date"), "payload_digest": fields.get("warc-payload-digest"), "head": http, "payload": payload,
-            "payload_bytes": int(said[1]) if kind == "revisit" and said else len(payload),
-            "actual_digest": base64.b32encode(hashlib.sha1(payload).digest()).decode() if kind == "response" else None,
-        }
-
-
-def _read(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The records of one archive, plain or gzip-compressed in any number of members."""
+    archive = _Archive()
+    yield from archive.add(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw)
+    archive.close()
+
+
+def _read(batches: Iterator[pa.RecordBatch], most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """Rows (file, what stands before two CRLFs) in the order of the file."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     schema = to_arrow_schema(RECORD)
+    now, archive, rows, size = None, _Archive(), [], 0
     for batch in batches:
-        for raw in batch.column(0):
-            rows, size = [], 0
-            for r in records_of(raw.as_buffer().to_pybytes()):
+        for file, part in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if file != now:
+                archive.close()
+                now, archive = file, _Archive()
+            for r in archive.add(part.as_py() + CRLF2):
                 rows.append(r)
                 size += len(r["payload"]) + 500
                 if size > most:
                     yield pa.RecordBatch.from_pylist(rows, schema)
                     rows, size = [], 0
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema)
+    archive.close()
+    if rows:
+        yield pa.RecordBatch.from_pylist(rows, schema)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """One row a record of the archives in ``path``."""
+    """One row a record of the gzip-compressed archives in ``path``, which Spark doesn't split."""
     ship(spark)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt*").load(path).select("content")
-    return files.mapInArrow(_read, RECORD)
+    lines = spark.read.option("lineSep", CRLF * 2).option("pathGlobFilter", "*.gz").text(path)
+    return arrow(lines.select(F.col("_metadata.file_path"), F.col("value").cast("binary")), _read, RECORD)
+
+
+def _transactions(records: DataFrame) -> DataFrame:
+    """``records`` with ``key``, equal for the records of a transaction."""
+    names = records.where("concurrent IS NOT NULL").select("record_id", "concurrent")
+    several = names.where(F.size("concurrent") > 1)
+    chained = names.select(F.explode("concurrent").alias("record_id")).join(names, "record_id", "left_semi")
+    if not several.take(1) and not chained.take(1):
+        return records.withColumn("key", F.coalesce("concurrent_to", "record_id"))
+    number = lambda c: F.xxhash64(c)
+    roots = components(names.select(number("record_id").alias("a"), F.explode("concurrent").alias("c")).select("a", number("c").alias("b")))
+    placed = records.withColumn("number", number("record_id")).join(roots.withColumnRenamed("v", "number"), "number", "left")
+    return placed.withColumn("key", F.coalesce("root", "number"))
 
 
 def assemble(records: DataFrame, fields: tuple[str, ...] = tuple(n for n in RECORD.names if n != "type")) -> DataFrame:
     """One nested row a capture: request, response (or revisit) and metadata joined through concurrent-to.
 
-    A record that names no other is the hub of its own transaction.  ``fields`` are those nested in each part; a caller
-    that needs no payloads leaves them out, and they don't travel.
+    ``transaction`` is the request's id, or the smallest of a transaction without one.  A record that names no other and is
+    named by none is a transaction.  ``fields`` are those nested in each part; a caller that needs no payloads leaves them
+    out, and they don't travel.
     """
     is_ = {"request": F.col("type") == "request", "response": F.col("type").isin("response", "revisit"), "metadata": F.col("type") == "metadata"}
-    parts = records.withColumn("transaction", F.coalesce("concurrent_to", "record_id")).groupBy("transaction").agg(
-        *[F.max(F.when(test, F.col(n))).alias(f"{part}_{n}") for part, test in is_.items() for n in fields], F.max(F.when(is_["response"], F.col("type"))).alias("response_type")
+    held = written(records.select(*dict.fromkeys(("record_id", "type", "concurrent_to", "concurrent", *fields))), "records")
+    name = F.coalesce(F.max(F.when(is_["request"], F.col("record_id"))), F.min("record_id"))
+    parts = _transactions(held).groupBy("key").agg(
+        *[F.max(F.when(test, F.col(n))).alias(f"{part}_{n}") for part, test in is_.items() for n in fields], F.max(F.when(is_["response"], F.col("type"))).alias("response_type"), name.alias("transaction")
     )
     return parts.select(
         "transaction",
