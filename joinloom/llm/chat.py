@@ -4,11 +4,12 @@ Template: a turn is ``### Role: text</turn>`` and a newline, the role with a cap
 backslash goes before every ``\`` and ``#`` and before ``<`` where ``</turn>`` follows (in roles also before
 ``:`` and a newline), so no control string stands there unescaped and the escape can be undone.
 
-Rows are dealt by conversation and sorted by turn; a task streams them batch by batch.  For a batch the lengths of
-all segments, their cumulative offsets and the scatter indices are computed in numpy, and headers, escaped
-contents and footers are copied into one preallocated buffer that becomes the Arrow column.  A conversation gives
-one row, or several parts in order where it is longer than ``PART_BYTES``, so a conversation of any length streams
-through bounded memory; the mask of the loss is a list of byte spans, one an assistant text.
+Rows are dealt by conversation and sorted by turn; a task streams them batch by batch.  For about a megabyte of text at
+a time the lengths of all segments, their cumulative offsets and the scatter indices are computed in numpy, and headers,
+escaped contents and footers are copied into one preallocated buffer, which is the value buffer of the Arrow column as it
+stands: the column's offsets are the cumulative offsets at which conversations begin.  A conversation gives one row, or
+several parts in order where it is longer than ``PART_BYTES``; the last one of a batch waits for the next batch as rows, so a
+conversation of any length streams through bounded memory.  The mask of the loss is a list of byte spans, one an assistant text.
 
 Null texts and roles count as empty.  A null conv_id is a conversation of its own; null turns come first; rows that
 tie on the turn are ordered by role, then text; repeated rows are turns each.  Extra columns are ignored.
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import pieces, read_table, ship, utf8
+from .common import arrow, pieces, read_table, ship, utf8
 
 HEAD, MIDDLE, FOOT = b"### ", b": ", b"</turn>\n"
 END = b"</turn>"
@@ -80,42 +81,55 @@ def assemble(role: pa.Array, text: pa.Array) -> tuple[np.ndarray, np.ndarray, np
     return out, np.append(starts[:, 0], len(out)), starts[:, 3], ends[:, 3]
 
 
-def _format(batches: Iterator[pa.RecordBatch], most: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
+def _column(rows: pa.RecordBatch, starts: np.ndarray, numbers: np.ndarray) -> pa.RecordBatch:
+    """PART rows of parts that begin at rows ``starts`` (the first at 0), in one buffer."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    schema = to_arrow_schema(PART)
-    now: object = None  # the open conversation, its part so far
-    part, size, chunks, begin, end, turns, opened = 0, 0, [], [], [], 0, False
+    role = rows.column(1)
+    data, offsets, begin, end = assemble(role, rows.column(2))
+    ends = np.append(starts, len(rows))
+    cuts = offsets[ends]
+    said = np.flatnonzero(np.array([r == ASSISTANT for r in role.to_pylist()], bool))
+    own = cuts[np.searchsorted(starts, said, "right") - 1]  # where the part of each assistant text begins
+    spans = pa.array(np.searchsorted(said, ends), pa.int32())
+    return pa.RecordBatch.from_arrays([
+        rows.column(0).take(pa.array(starts)), pa.array(numbers, pa.int64()), pa.array(np.diff(ends), pa.int64()),
+        pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(data)]),
+        pa.ListArray.from_arrays(spans, pa.array(begin[said] - own)), pa.ListArray.from_arrays(spans, pa.array(end[said] - own)),
+    ], schema=to_arrow_schema(PART))
+
 
-    def row() -> list:
-        return [now, part, turns, b"".join(chunks), begin, end]
+def _format(batches: Iterator[pa.RecordBatch], most: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
+    held, begun = None, 0  # rows of the last part so far, and its number in its conversation
+
+    def parts(rows: pa.RecordBatch, open_: bool) -> Iterator[pa.RecordBatch]:
+        """All parts of ``rows``; if ``open_``, the last one is held back."""
+        nonlocal held, begun
+        ids, (_, at) = rows.column(0).to_pylist(), utf8(rows.column(2))
+        sizes, starts, numbers = at.tolist(), [0], [begun]
+        for k in range(1, len(ids)):
+            if ids[k] != ids[k - 1]:
+                starts.append(k)
+                numbers.append(0)
+            elif sizes[k] - sizes[starts[-1]] > most:
+                starts.append(k)
+                numbers.append(numbers[-1] + 1)
+        stop = len(ids)
+        if open_:
+            stop, begun = starts.pop(), numbers.pop()
+            held = rows.slice(stop)
+        starts, numbers = np.array(starts, np.int64), np.array(numbers, np.int64)
+        edges = at[np.append(starts, stop)]
+        for i, j in pieces(edges):
+            first = int(starts[i])
+            last = int(starts[j]) if j < len(starts) else stop
+            yield _column(rows.slice(first, last - first), starts[i:j] - first, numbers[i:j])
 
     for batch in batches:
-        ids = batch.column(0).to_pylist()
-        text = batch.column(2)
-        _, at = utf8(text)
-        for i, j in pieces(at):
-            role = batch.column(1).slice(i, j - i)
-            data, offsets, t0, t1 = assemble(role, text.slice(i, j - i))
-            whole, said = data.tobytes(), [r == ASSISTANT for r in role.to_pylist()]
-            done = []
-            for k in range(j - i):
-                if not opened or ids[i + k] != now or size > most:
-                    if opened:
-                        done.append(row())
-                    part = part + 1 if opened and ids[i + k] == now else 0
-                    now, opened, size, chunks, begin, end, turns = ids[i + k], True, 0, [], [], [], 0
-                a, b = int(offsets[k]), int(offsets[k + 1])
-                if said[k]:
-                    begin.append(size + int(t0[k]) - a)
-                    end.append(size + int(t1[k]) - a)
-                chunks.append(whole[a:b])
-                size += b - a
-                turns += 1
-            if done:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done, strict=True), schema, strict=True)], schema=schema)
-    if opened:
-        yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(row(), schema, strict=True)], schema=schema)
+        if len(batch):
+            yield from parts(batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0], True)
+    if held is not None:
+        yield from parts(held, False)
 
 
 def format_chats(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -123,7 +137,7 @@ def format_chats(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
     ship(rows.sparkSession)
     rows = rows.select(F.col(conv_id).cast("long").alias("conv_id"), F.col(role).alias("role"), F.col(text).alias("text"), F.col(turn).alias("turn"))
     dealt = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return dealt.select("conv_id", "role", "text").mapInArrow(_format, PART)
+    return arrow(dealt.select("conv_id", "role", "text"), _format, PART)
 
 
 def unescape(data: bytes) -> bytes:
@@ -215,7 +229,7 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise(ASSISTANT).alias("role"), F.lit(EXAMPLE).alias("text"))
-    return format_chats(rows.unionByName(extra)).mapInArrow(_read_back, DIGESTS)
+    return arrow(format_chats(rows.unionByName(extra)), _read_back, DIGESTS)
 
 
 #: Every role in the table is lower case and needs no escape.

@@ -63,6 +63,30 @@ def test_warc_members_and_truncation():
         list(warc.records_of(b"junk\r\n\r\n"))
 
 
+def test_warc_chains_and_several_headers(spark, tmp_path):
+    """metadata names the response, the response the request; a second capture's request is named by a record that names both others."""
+    record = lambda kind, name, *to: (f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <{name}>\r\n" + "".join(f"WARC-Concurrent-To: <{t}>\r\n" for t in to) + f"Content-Length: {len(name) + 2}\r\n\r\n{name}\r\n\r\n\r\n").encode()
+    first = [record("metadata", "m1", "r1"), record("response", "r1", "q1"), record("request", "q1")]
+    second = [record("response", "r2"), record("metadata", "m2", "q2", "r2"), record("request", "q2")]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(map(gzip.compress, first + [record("request", "alone")])))
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(b"".join(second)))
+    records = warc.read(spark, str(tmp_path))
+    got = {(r.transaction, r.request.record_id, r.response.record_id, r.metadata.record_id) for r in warc.assemble(records).collect()}
+    assert got == {("<q1>", "<q1>", "<r1>", "<m1>"), ("<q2>", "<q2>", "<r2>", "<m2>"), ("<alone>", "<alone>", None, None)}
+    assert {bytes(r.payload) for r in records.collect()} == {f"{x}\r\n".encode() for x in ("m1", "r1", "q1", "m2", "r2", "q2", "alone")}
+    (tmp_path / "c.warc.gz").write_bytes(gzip.compress(first[0][:-9]))
+    with pytest.raises(Exception, match="ends within a record"):
+        warc.read(spark, str(tmp_path)).count()
+
+
+def test_warc_files_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(warc, "RECORDS", 4)
+    path = fresh_path(spark, "test-warc")
+    warc.write(spark.createDataFrame([(*r, "x") for r in PAGES], SCHEMA).coalesce(1), path)
+    assert spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).count() >= 7
+    assert warc.assemble(warc.read(spark, path)).count() == len(PAGES)
+
+
 # --- chat -----------------------------------------------------------------------------------------------------
 
 CHATS = [
@@ -105,6 +129,22 @@ def test_chat_template_and_escapes():
     assert len(chat.assemble(pa.array([], pa.string()), pa.array([], pa.string()))[0]) == 0
 
 
+def test_chat_buffer_is_the_column():
+    """The assembled bytes are the column's value buffer; conversations may run over batches and parts."""
+    turns = [(c, "assistant" if t % 2 else "user", f"{c}:{t} " + "é#" * (t % 7)) for c in range(40) for t in range(1 + c % 9)]
+    kinds = pa.schema([("conv_id", pa.int64()), ("role", pa.string()), ("text", pa.string())])
+    whole = pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*turns, strict=True), kinds, strict=True)], schema=kinds)
+    want = chat.assemble(whole.column(1), whole.column(2))[0].tobytes()
+    for step in (1, 7, 1000):
+        for most in (0, 30, 1 << 20):
+            out = list(chat._format((whole.slice(i, step) for i in range(0, len(whole), step)), most))
+            assert b"".join(x for b in out for x in b.column(3).to_pylist()) == want and sum(sum(b.column(2).to_pylist()) for b in out) == len(turns)
+            number = [(c, p) for b in out for c, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            assert number == sorted(set(number)) and (most < 1 << 20 or len(number) == 40)
+            texts = [chat.unescape(x[a:z]).decode() for b in out for x, s, e in zip(*(b.column(k).to_pylist() for k in (3, 4, 5)), strict=True) for a, z in zip(s, e, strict=True)]
+            assert texts == [t for _, r, t in turns if r == "assistant"]
+
+
 def test_chat_empty_table(spark):
     assert chat.format_chats(spark.createDataFrame([], CHAT_SCHEMA)).mapInArrow(chat._read_back, chat.DIGESTS).count() == 0
 
