@@ -1,19 +1,26 @@
 """Secret scans: base patterns plus a randomness test battery with false-discovery control.
 
-Base patterns (fixed by contract) find assignments, access keys and long hexadecimal runs.  The battery looks
-at every other run of 20 or more characters of ``[A-Za-z0-9+/_=-]``:
+Base patterns (fixed by contract) find assignments, access keys and long hexadecimal runs.  The battery looks at
+what is left, after those, of every run of ``[A-Za-z0-9+/_=-]``, in parts of ``LEAST`` or more characters:
 
 1. the encoding is inferred from the characters used (dec, hex, base32, base64, base64url or alnum);
-2. chi-squared uniformity over that alphabet, a runs test about the alphabet's middle and the lag-one serial
-   correlation are combined (smallest p times three); a run below ``RANDOM_P`` isn't random;
-3. the p-value against natural text is ``exp(-L)`` for the log likelihood ratio L of the uniform alphabet over
-   letters as prose has them.  By Markov's inequality that is a valid p-value, and it falls with length;
-4. Benjamini-Hochberg at ``FDR`` within strata of length, over all candidates of the corpus.  The counts behind
-   it are a histogram of fixed size (strata times bins), the only thing that reaches the driver.
-
-Nulls and empty texts have no spans.  Repeated rows are scanned each for itself.  Input columns named like an
-output column (``secrets``, ``n_assign``, ``n_access``, ``n_hex``, ``n_random``, ``base_sha256``, ``spans``)
-are replaced; all other columns pass through.  Offsets are code points, ends exclusive.
+2. three statistics over that alphabet: chi-squared against uniformity, the number of runs about the alphabet's middle,
+   and the lag-one serial correlation.  Against randomness they give a combined p-value (smallest times three); a token
+   below ``RANDOM_P`` isn't random, whatever else it is;
+3. against ordinary text: how the statistics would fall out in tokens of the same length and alphabet written with the
+   characters, and the successions of characters, of the whole corpus (one table of bigrams, counted over all
+   documents).  Their distances from that, each in standard deviations and towards randomness, are added (Stouffer);
+   the normal tail of the sum is the token's p-value.  It falls with length, as the deviations of random text add up;
+4. Benjamini-Hochberg at ``FDR`` over these p-values within strata of length, over all tokens of the corpus.  The
+   counts behind it are a histogram of fixed size (strata times bins).
+
+The bigram table and the histogram, both of fixed size, are all that reaches the driver.  Work is linear in a text: code
+points are counted once, and spans are cut by merging sorted lists.
+
+Nulls and empty texts have no spans.  Repeated rows are scanned each for itself.  Input columns named like an output
+column (``secrets``, ``n_assign``, ``n_access``, ``n_hex``, ``n_random``, ``base_sha256``, ``spans``) are replaced by
+``find_secrets``; all other columns, whatever their names, pass through.  ``redact`` keeps all columns.  Offsets are
+code points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -29,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import pieces, read_table, ship, utf8, written
+from .common import arrow, pieces, read_table, ship, total, unused, utf8, written
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(
@@ -45,15 +52,12 @@ STRATA = (20, 28, 40, 64, 128)
 BINS = 400
 PER_NAT = 4
 
-_OUT = T.StructType([
-    T.StructField("n_assign", T.LongType()), T.StructField("n_access", T.LongType()), T.StructField("n_hex", T.LongType()),
-    T.StructField("base_sha256", T.StringType()),
-    T.StructField("jl_base", T.ArrayType(T.StructType([
-        T.StructField("start", T.LongType()), T.StructField("rank", T.IntegerType()), T.StructField("end", T.LongType())]))),
-    T.StructField("jl_found", T.ArrayType(T.StructType([
-        T.StructField("start", T.LongType()), T.StructField("end", T.LongType()),
-        T.StructField("stratum", T.IntegerType()), T.StructField("bin", T.IntegerType())]))),
-])
+#: No statistic counts for more standard deviations than this: normal tails aren't to be trusted further out.
+MOST_Z = 8.0
+
+_COUNTS = [T.StructField("n_assign", T.LongType()), T.StructField("n_access", T.LongType()), T.StructField("n_hex", T.LongType()), T.StructField("base_sha256", T.StringType())]
+_SPAN = T.StructType([T.StructField("start", T.LongType()), T.StructField("rank", T.IntegerType()), T.StructField("end", T.LongType())])
+_FOUND = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("stratum", T.IntegerType()), T.StructField("bin", T.IntegerType())])
 
 
 def _table(chars: bytes) -> np.ndarray:
@@ -84,40 +88,89 @@ def _two_sided(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2))
 
 
-def battery(token: bytes) -> tuple[float, float]:
-    """The combined p-value of randomness, and the p-value of the token under natural text."""
+def bigrams(docs: DataFrame, text: str = "text") -> np.ndarray:
+    """How often each byte follows each other one, over all texts."""
+
+    def fill(table: np.ndarray, batch: pa.RecordBatch) -> None:
+        data, at = utf8(batch.column(0))
+        for i, j in pieces(at):
+            own = data[at[i] : at[j]]
+            table += np.bincount(own[:-1].astype(np.int64) << 8 | own[1:], minlength=1 << 16)
+
+    return total(docs.select(text), fill, 1 << 16, np.int64, np.add)[0]
+
+
+class Natural:
+    """Mean and variance of the battery's statistics in ordinary text, by alphabet."""
+
+    def __init__(self, table: np.ndarray):
+        self.table = table.reshape(256, 256)
+        self.known: dict[bytes, tuple[float, ...]] = {}
+
+    def of(self, alphabet: bytes) -> tuple[float, ...]:
+        """Sums of squares and cubes of the shares of the alphabet's characters, the share of successions that cross its middle, and their correlation."""
+        if alphabet not in self.known:
+            at = np.frombuffer(alphabet, np.uint8)
+            size = len(at)
+            pair = self.table[np.ix_(at, at)] + 1.0 / size  # what never occurs still may
+            share = pair.sum(1) + pair.sum(0)
+            share /= share.sum()
+            pair /= pair.sum()
+            half = np.arange(size) >= size / 2
+            crossing = float(pair[half][:, ~half].sum() + pair[~half][:, half].sum())
+            code = np.arange(size)
+            ahead, behind = code - code @ pair.sum(1), code - code @ pair.sum(0)
+            scale = math.sqrt(float((ahead**2) @ pair.sum(1)) * float((behind**2) @ pair.sum(0)))
+            self.known[alphabet] = (float((share**2).sum()), float((share**3).sum()), crossing, float(ahead @ pair @ behind) / scale if scale else 0.0)
+        return self.known[alphabet]
+
+    def p(self, alphabet: bytes, n: int, chi: float, runs: int, serial: float) -> float:
+        """How likely ordinary text of ``n`` characters is as random as that."""
+        size = len(alphabet)
+        two, three, crossing, linked = self.of(alphabet)
+        mean = size * (1 - two) + n * (size * two - 1)
+        var = (size / n) ** 2 * 2 * n * (n - 1) * (two + 2 * (n - 2) * three - (2 * n - 3) * two**2)
+        z = [(mean - chi) / math.sqrt(var) if var > 0 else 0.0]
+        towards = 1 if crossing < 0.5 else -1  # random text crosses the middle half of the time
+        z.append(towards * (runs - 1 - (n - 1) * crossing) / math.sqrt((n - 1) * crossing * (1 - crossing)) if 0 < crossing < 1 else 0.0)
+        z.append((1 if linked > 0 else -1) * (linked - serial) * math.sqrt(n))
+        return 0.5 * math.erfc(sum(max(-MOST_Z, min(MOST_Z, x)) for x in z) / math.sqrt(2 * len(z)))
+
+
+def statistics(code: np.ndarray, size: int) -> tuple[float, int, float]:
+    """Chi-squared against uniformity, runs about the middle and lag-one correlation of a token's codes."""
+    n = len(code)
+    counts = np.bincount(code, minlength=size)
+    above = code >= size / 2
+    dev = code - code.mean()
+    spread = float((dev * dev).sum())
+    return float((counts * counts).sum()) * size / n - n, 1 + int((above[1:] != above[:-1]).sum()), float((dev[1:] * dev[:-1]).sum()) / spread if spread else 1.0
+
+
+def battery(token: bytes, natural: Natural) -> tuple[float, float]:
+    """The combined p-value against randomness, and the p-value against ordinary text."""
     name, alphabet = infer_encoding(token)
     body = token.rstrip(b"=") if name != "mixed" else token
     n, size = len(body), len(alphabet)
-    if n < 2:
+    if n < 4:
         return 0.0, 1.0
     lookup = np.zeros(256, np.int64)
     lookup[list(alphabet)] = np.arange(size)
     code = lookup[np.frombuffer(body, np.uint8)]
-    counts = np.bincount(code, minlength=size)
-    chi = float(((counts - n / size) ** 2).sum() * size / n)
+    chi, runs, serial = statistics(code, size)
     k = size - 1
     z = ((chi / k) ** (1 / 3) - (1 - 2 / (9 * k))) / math.sqrt(2 / (9 * k))
     p_chi = min(1.0, 0.5 * math.erfc(z / math.sqrt(2)))
-    above = code >= size / 2
-    n1 = int(above.sum())
+    n1 = int((code >= size / 2).sum())
     n0 = n - n1
     if n1 and n0:
-        runs = 1 + int((above[1:] != above[:-1]).sum())
         mean = 1 + 2 * n0 * n1 / n
         var = (mean - 1) * (mean - 2) / (n - 1)
         p_runs = _two_sided((runs - mean) / math.sqrt(var)) if var > 0 else 1.0
     else:
         p_runs = 2.0 ** (1 - n)
-    dev = code - code.mean()
-    total = float((dev * dev).sum())
-    p_serial = _two_sided(float((dev[1:] * dev[:-1]).sum()) / total * math.sqrt(n)) if total else 0.0
-    lower = sum(97 <= b <= 122 for b in body)
-    digit = sum(48 <= b <= 57 for b in body)
-    upper = sum(65 <= b <= 90 for b in body)
-    natural = lower * math.log(0.88 / 26) + upper * math.log(0.07 / 26) + digit * math.log(0.03 / 10) + (n - lower - upper - digit) * math.log(0.02 / 5)
-    ratio = -n * math.log(size) - natural
-    return min(1.0, 3 * min(p_chi, p_runs, p_serial)), math.exp(-ratio) if ratio > 0 else 1.0
+    p_serial = _two_sided(serial * math.sqrt(n)) if len(set(body)) > 1 else 0.0
+    return min(1.0, 3 * min(p_chi, p_runs, p_serial)), natural.p(alphabet, n, chi, runs, serial)
 
 
 def _runs(inside: np.ndarray, first: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -137,7 +190,23 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def scan_piece(data: np.ndarray, at: np.ndarray) -> dict[int, tuple[list, list]]:
+def cut(start: int, end: int, spans: list[tuple[int, int]], k: int) -> tuple[list[tuple[int, int]], int]:
+    """What sorted, disjoint ``spans`` leave of start..end, and the first span that a later run may meet; looking starts at ``k``."""
+    out = []
+    while k < len(spans) and spans[k][1] <= start:
+        k += 1
+    i = k
+    while i < len(spans) and spans[i][0] < end:
+        if spans[i][0] > start:
+            out.append((start, spans[i][0]))
+        start = max(start, spans[i][1])
+        i += 1
+    if start < end:
+        out.append((start, end))
+    return out, k
+
+
+def scan_piece(data: np.ndarray, at: np.ndarray, natural: Natural) -> dict[int, tuple[list, list]]:
     """For each document of a piece with any span: its base spans and the battery's candidates."""
     at = at - at[0]
     if not len(data):
@@ -147,10 +216,8 @@ def scan_piece(data: np.ndarray, at: np.ndarray) -> dict[int, tuple[list, list]]
     raw = data.tobytes()
     docs: set[int] = set()
 
-    def hit(positions: np.ndarray | list[int]) -> np.ndarray:
-        got = np.searchsorted(at, np.asarray(positions, np.int64), "right") - 1
-        docs.update(got.tolist())
-        return got
+    def hit(positions: np.ndarray | list[int]) -> None:
+        docs.update((np.searchsorted(at, np.asarray(positions, np.int64), "right") - 1).tolist())
 
     hit(_runs(_IS_HEX[data], first[:-1], 32)[0])
     low = raw.lower()
@@ -162,20 +229,29 @@ def scan_piece(data: np.ndarray, at: np.ndarray) -> dict[int, tuple[list, list]]
                 p = where.find(needle, p + 1)
             hit(positions)
     start, end = _runs(_IS_TOKEN[data], first[:-1], LEAST)
-    runs: dict[int, list[tuple[int, int]]] = {}
-    for d, s, e in zip((np.searchsorted(at, start, "right") - 1).tolist(), start.tolist(), end.tolist(), strict=True):
-        runs.setdefault(d, []).append((s, e))
+    doc = np.searchsorted(at, start, "right") - 1
+    points = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80, dtype=np.int32))) if len(start) else None
+    runs: dict[int, list[tuple[int, int, int]]] = {}
+    if len(start):
+        for d, s, e, before in zip(doc.tolist(), start.tolist(), end.tolist(), (points[start] - points[at[doc]]).tolist(), strict=True):
+            runs.setdefault(d, []).append((s, e, before))
     out = {}
     for d in docs | runs.keys():
         base = base_spans(raw[at[d] : at[d + 1]].decode("utf-8", "replace")) if d in docs else []
-        found = []
-        for s, e in runs.get(d, ()):
-            before = int(np.count_nonzero((data[at[d] : s] & 0xC0) != 0x80))
-            if any(b[0] < before + e - s and before < b[2] for b in base):
-                continue
-            p_random, p_natural = battery(raw[s:e])
-            bin_ = min(BINS - 1, int(-math.log(max(p_natural, 1e-300)) * PER_NAT)) if p_random >= RANDOM_P else 0
-            found.append((before, before + e - s, sum(e - s >= x for x in STRATA) - 1, bin_))
+        covered: list[tuple[int, int]] = []
+        for s, _, e in base:
+            if covered and s <= covered[-1][1]:
+                covered[-1] = (covered[-1][0], max(e, covered[-1][1]))
+            else:
+                covered.append((s, e))
+        found, k = [], 0
+        for s, e, before in runs.get(d, ()):
+            parts, k = cut(before, before + e - s, covered, k)
+            for a, b in parts:
+                if b - a >= LEAST:
+                    p_random, p = battery(raw[s + a - before : s + b - before], natural)
+                    bin_ = min(BINS - 1, int(-math.log(max(p, 1e-300)) * PER_NAT)) if p_random >= RANDOM_P else 0
+                    found.append((a, b, sum(b - a >= x for x in STRATA) - 1, bin_))
         if base or found:
             out[d] = (base, found)
     return out
@@ -185,10 +261,10 @@ def _digest(base: list[tuple[int, int, int]]) -> str:
     return hashlib.sha256(",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in base).encode()).hexdigest()
 
 
-def _scan(batches: Iterator[pa.RecordBatch], text: str, keep: list[str]) -> Iterator[pa.RecordBatch]:
+def _scan(batches: Iterator[pa.RecordBatch], text: str, keep: list[str], natural: Natural, made_names: list[str]) -> Iterator[pa.RecordBatch]:
     from pyspark.sql.pandas.types import to_arrow_type
 
-    kinds = [to_arrow_type(f.dataType) for f in _OUT.fields]
+    kinds = [to_arrow_type(f.dataType) for f in _COUNTS] + [to_arrow_type(T.ArrayType(x)) for x in (_SPAN, _FOUND)]
     none = _digest([])
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
@@ -197,16 +273,16 @@ def _scan(batches: Iterator[pa.RecordBatch], text: str, keep: list[str]) -> Iter
         counts = np.zeros((3, n), np.int64)
         digests, bases, founds = [none] * n, [[] for _ in range(n)], [[] for _ in range(n)]
         for i, j in pieces(at):
-            for d, (base, found) in scan_piece(data[at[i] : at[j]], at[i : j + 1]).items():
+            for d, (base, found) in scan_piece(data[at[i] : at[j]], at[i : j + 1], natural).items():
                 for _, k, _ in base:
                     counts[k, i + d] += 1
                 digests[i + d] = _digest(base)
                 bases[i + d] = [{"start": s, "rank": k, "end": e} for s, k, e in base]
-                founds[i + d] = [dict(zip(("start", "end", "stratum", "bin"), x, strict=True)) for x in found]
+                founds[i + d] = [dict(zip(_FOUND.names, x, strict=True)) for x in found]
         made = [counts[0], counts[1], counts[2], digests, bases, founds]
         yield pa.RecordBatch.from_arrays(
             [batch.column(batch.schema.get_field_index(c)) for c in keep] + [pa.array(x, t) for x, t in zip(made, kinds, strict=True)],
-            names=keep + _OUT.names,
+            names=keep + made_names,
         )
 
 
@@ -228,23 +304,25 @@ def find_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with ``secrets`` (array of kind, start, end), counts, the base digest and ``spans``."""
     spark = docs.sparkSession
     ship(spark)
-    made = {"secrets", "n_random", "spans", *_OUT.names}
+    made = {"secrets", "n_random", "spans", *(f.name for f in _COUNTS)}
     keep = [c for c in docs.columns if c == text or c not in made]
-    out = T.StructType([docs.schema[c] for c in keep] + _OUT.fields)
-    rows = written(docs.select(*keep).mapInArrow(lambda it: _scan(it, text, keep), out), "secrets")
-    seen = rows.select(F.explode("jl_found").alias("x")).groupBy("x.stratum", "x.bin").count().collect()
+    of_base, of_found = unused("jl_base", keep), unused("jl_found", keep)
+    out = T.StructType([docs.schema[c] for c in keep] + _COUNTS + [T.StructField(of_base, T.ArrayType(_SPAN)), T.StructField(of_found, T.ArrayType(_FOUND))])
+    natural, names = Natural(bigrams(docs, text)), out.names[len(keep) :]
+    rows = written(arrow(docs.select(*[F.col(f"`{c}`") for c in keep]), lambda it: _scan(it, text, keep, natural, names), out), "secrets")
+    seen = rows.select(F.explode(of_found).alias("x")).groupBy("x.stratum", "x.bin").count().collect()
     limit = thresholds({(r[0], r[1]): r[2] for r in seen})
     limits = F.array(*map(F.lit, limit))
-    found = F.filter("jl_found", lambda x: x["bin"] >= F.get(limits, x["stratum"]))
-    spans = F.array_sort(F.concat("jl_base", F.transform(found, lambda x: F.struct(x["start"].alias("start"), F.lit(3).alias("rank"), x["end"].alias("end")))))
-    names = F.array(*map(F.lit, KINDS))
-    named = F.transform(spans, lambda x: F.struct(F.get(names, x["rank"]).alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
+    found = F.filter(of_found, lambda x: x["bin"] >= F.get(limits, x["stratum"]))
+    spans = F.array_sort(F.concat(of_base, F.transform(found, lambda x: F.struct(x["start"].alias("start"), F.lit(3).alias("rank"), x["end"].alias("end")))))
+    kinds = F.array(*map(F.lit, KINDS))
+    named = F.transform(spans, lambda x: F.struct(F.get(kinds, x["rank"]).alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
     return (
-        rows.withColumn("secrets", F.when(F.size("jl_base") + F.size("jl_found") > 0, named).otherwise(F.array().cast(T.ArrayType(T.StructType([
+        rows.withColumn("secrets", F.when(F.size(of_base) + F.size(of_found) > 0, named).otherwise(F.array().cast(T.ArrayType(T.StructType([
             T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))))
         .withColumn("n_random", F.size(F.filter("secrets", lambda x: x["kind"] == "random")).cast("long"))
         .withColumn("spans", F.concat_ws(",", F.transform("secrets", lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"]))))
-        .drop("jl_base", "jl_found")
+        .drop(of_base, of_found)
     )
 
 
@@ -266,10 +344,11 @@ def _redact(batches: Iterator[pa.RecordBatch], keep: list[str], text: str) -> It
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with every secret replaced by its kind in brackets; all documents stay."""
-    keep = docs.columns
-    schema = docs.schema
-    return find_secrets(docs, text).select(*keep, "secrets").mapInArrow(lambda it: _redact(it, keep, text), schema)
+    """``docs`` with every secret replaced by its kind in brackets; all documents and columns stay."""
+    keep = [f"c{i}" for i in range(len(docs.columns))]
+    rows = docs.toDF(*keep)  # columns of any name
+    schema, own = rows.schema, keep[docs.columns.index(text)]
+    return arrow(find_secrets(rows, own).select(*keep, "secrets"), lambda it: _redact(it, keep, own), schema).toDF(*docs.columns)
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
