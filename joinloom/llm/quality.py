@@ -4,25 +4,33 @@ Base counts of whole texts (words are ``[^\x20\x09-\x0D]+``) come from one expre
 bound once by a lambda, three-word windows are compared by hash first, and only texts in which two hashes agree sort
 their windows, by the words themselves, so the count is exact.
 
-The method fits a minimum-covariance-determinant estimate for each language and source to the transformed vector
-(log mean word length, roots of the shares of symbols, duplicate lines, repeated words and capitals).  It starts from
-medians and median absolute deviations; each concentration step takes the distances under the last estimate, their
-``SUBSET`` quantile in each group and the mean and covariance of the documents below it.  Documents tied at the quantile
-share the weight that is left, so a group of copies never takes the subset beyond its half.  Last, the estimate is
-reweighted: mean and covariance of all documents within ``INNER``, as the half alone is narrow.  Up to nearly half of a
-group may be outliers.  Estimates are small tables
-written to the shared folder between steps, so Spark knows their sizes and broadcasts those below its threshold; documents never move except as rows of a dozen numbers, and aggregates
-are partial before they shuffle, so a source with a third of all rows is no harder than any other.  ``FLOOR`` is added
-to the standard deviations: a statistic that is zero for nearly all documents of a group would make the covariance
-singular.  Sources with fewer than ``LEAST`` documents of a language are pooled by language; a pool that is still
-smaller rejects nothing.
+The method fits a minimum-covariance-determinant estimate for each language and source, and for each language, to the
+transformed vector (log mean word length, roots of the shares of symbols, duplicate lines, repeated words and capitals).
+It has three deterministic starts: medians and median absolute deviations; these with the correlations of the hyperbolic
+tangents of the standardised statistics; and with those of their spatial signs.  From each, concentration steps take the
+distances under the last estimate, their ``SUBSET`` quantile in each group and the mean and covariance of the documents
+below it, until the determinant falls no further; the start that ends with the smallest determinant is the group's.
+Documents tied at the quantile share the weight that is left, so a group of copies never takes the subset beyond its
+half.  Last, the estimate is reweighted: mean and covariance of all documents within ``INNER``, as the half alone is
+narrow.  Up to nearly half of a group may be outliers.  ``FLOOR`` is added to the standard deviations: a statistic that
+is zero for nearly all documents of a group would make the covariance singular.
+
+A group's estimate is drawn towards its language's by the weight n / (n + ``SHRINK``), so a source of few documents is
+judged mostly by its language, one of many by itself, and nothing depends on a least size.  The limit on the squared
+distance is ``CUTOFF`` * (1 + (``FEW`` / n)^2) for n documents of the language: a handful of documents reject nothing.
+
+Estimates are small tables written to the shared folder between steps.  Those of at most ``MOST_GROUPS`` rows, which
+are counted, are broadcast; larger ones are joined by Spark's own choice.  Documents never move except as rows of a dozen
+numbers, and aggregates are partial before they shuffle, so a source with a third of all rows is no harder than any other.
 
 A null or empty text has no words, fails the base rules and is not kept.  Null languages and sources are groups
-like others.  Repeated rows count each for itself.  Extra columns are ignored.
+like others.  Repeated rows count each for itself.  Extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,8 +44,10 @@ CONSISTENT = 0.5 / 0.26148
 #: The 0.975 quantile of chi-squared with five degrees of freedom, and the factor for the covariance within it.
 INNER = 12.8325
 INNER_CONSISTENT = 0.975 / 0.92370
-STEPS = 4
-LEAST = 40
+#: A step that lowers the logarithm of the determinant by less ends a start.
+LEAST_FALL = 1e-3
+SHRINK, FEW = 40, 20
+MOST_GROUPS = 20_000
 #: The 0.99999 quantile of chi-squared with five degrees of freedom.
 CUTOFF = 30.86
 SYMBOLS = "[#*$%&|<>]"
@@ -88,12 +98,20 @@ def counts(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id
     })
 
 
+KEYS = ("grp", "start")
+
+
+def _small(table: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if it has few rows."""
+    return F.broadcast(table) if table.count() <= MOST_GROUPS else table
+
+
 def _cell(i: int, j: int) -> str:
     return f"c{max(i, j)}{min(i, j)}"
 
 
-def _inverse_root(est: DataFrame) -> DataFrame:
-    """Groups with ``m0..`` (center) and the lower triangle ``c..`` of a covariance, to rows of the inverse Cholesky factor ``r..``."""
+def _inverse_root(est: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """Groups with ``m0..`` (center) and the lower triangle ``c..`` of a covariance, to rows of the inverse Cholesky factor ``r..`` and ``logdet``."""
     p = len(STATS)
     for j in range(p):  # one projection a column keeps the expressions small
         diagonal = F.col(_cell(j, j)) - sum((F.col(f"l{j}{k}") ** 2 for k in range(j)), F.lit(0.0))
@@ -101,7 +119,8 @@ def _inverse_root(est: DataFrame) -> DataFrame:
         est = est.withColumns({f"l{i}{j}": (F.col(_cell(i, j)) - sum((F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))) / F.col(f"l{j}{j}") for i in range(j + 1, p)})
     for i in range(p):
         est = est.withColumns({f"r{i}{j}": (1 / F.col(f"l{i}{i}")) if i == j else -sum((F.col(f"l{i}{k}") * F.col(f"r{k}{j}") for k in range(j, i)), F.lit(0.0)) / F.col(f"l{i}{i}") for j in range(i + 1)})
-    return est.select("grp", *[f"m{i}" for i in range(p)], *[f"r{i}{j}" for i in range(p) for j in range(i + 1)])
+    logdet = sum((2 * F.log(f"l{i}{i}") for i in range(p)), F.lit(0.0)).alias("logdet")
+    return est.select(*keys, *[f"m{i}" for i in range(p)], *[f"r{i}{j}" for i in range(p) for j in range(i + 1)], logdet)
 
 
 def _distance() -> Column:
@@ -110,58 +129,100 @@ def _distance() -> Column:
     return sum((x * x for x in z), F.lit(0.0))
 
 
-def _estimate(inner: DataFrame, below: Column, want: Column, factor: float, name: str) -> DataFrame:
-    """Mean and covariance times ``factor`` by ``grp``: rows ``below`` count one each, the others share what they leave of ``want``."""
+def _moments(inner: DataFrame, below: Column, want: Column, factor: float, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """Mean and covariance times ``factor`` by ``keys``: rows ``below`` count one each, the others share what they leave of ``want``."""
     p = len(STATS)
     cells = [(i, j) for i in range(p) for j in range(i + 1)]
-    sums = written(inner.groupBy("grp", below.alias("below")).agg(
+    sums = inner.groupBy(*keys, below.alias("below")).agg(
         F.count("*").alias("n"), F.first(want).alias("want"), *[F.avg(c).alias(f"a{i}") for i, c in enumerate(STATS)], *[F.covar_pop(STATS[i], STATS[j]).alias(f"q{i}{j}") for i, j in cells]
-    ), f"{name}-sums")
-    taken = lambda c: F.sum(F.when(F.col("below") == c, F.col("n")).otherwise(0))
-    parts = sums.join(sums.groupBy("grp").agg(taken(True).alias("n_below"), taken(False).alias("n_tied")), "grp")
-    left = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("want") - F.col("n_below")) / F.col("n_tied")))
-    parts = parts.withColumn("w", F.col("n") * F.when(F.col("below"), 1.0).otherwise(left))
-    parts = written(parts, f"{name}-parts")
-    mean = parts.groupBy("grp").agg(*[(F.sum(F.col("w") * F.col(f"a{i}")) / F.sum("w")).alias(f"m{i}") for i in range(p)])
-    off = [F.col(f"a{i}") - F.col(f"m{i}") for i in range(p)]
-    shaped = parts.join(mean, "grp").groupBy("grp").agg(
-        *[F.first(f"m{i}").alias(f"m{i}") for i in range(p)],
-        *[(F.sum(F.col("w") * (F.col(f"q{i}{j}") + off[i] * off[j])) / F.sum("w") * factor + (FLOOR[i] ** 2 if i == j else 0.0)).alias(_cell(i, j)) for i, j in cells],
     )
-    return written(_inverse_root(written(shaped, f"{name}-shaped")), name)
-
-
-def fit(stats: DataFrame) -> DataFrame:
-    """MCD estimates by ``grp``: one row each, written to the shared folder."""
+    side = lambda c, v: F.coalesce(F.max(F.when(F.col("below") == v, F.col(c))), F.lit(0.0))
+    names = ["n", *[f"a{i}" for i in range(p)], *[f"q{i}{j}" for i, j in cells]]
+    both = sums.groupBy(*keys).agg(F.max("want").alias("want"), *[side(c, v).alias(f"{c}_{k}") for c in names for k, v in ((1, True), (0, False))])
+    share = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("want") - F.col("n_1")) / F.greatest(F.col("n_0"), F.lit(1.0))))
+    both = both.withColumn("w_1", F.col("n_1").cast("double")).withColumn("w_0", F.col("n_0") * share).withColumn("w", F.col("w_1") + F.col("w_0")).where("w > 0")
+    both = both.withColumns({f"m{i}": sum((F.col(f"w_{k}") * F.col(f"a{i}_{k}") for k in (0, 1)), F.lit(0.0)) / F.col("w") for i in range(p)})
+    off = lambda i, k: F.col(f"a{i}_{k}") - F.col(f"m{i}")
+    spread = lambda i, j: sum((F.col(f"w_{k}") * (F.col(f"q{i}{j}_{k}") + off(i, k) * off(j, k)) for k in (0, 1)), F.lit(0.0)) / F.col("w")
+    return both.select(*keys, *[f"m{i}" for i in range(p)], *[(spread(i, j) * factor + (FLOOR[i] ** 2 if i == j else 0.0)).alias(_cell(i, j)) for i, j in cells])
+
+
+def _starts(stats: DataFrame) -> DataFrame:
+    """Three estimates of each group to begin with."""
     p = len(STATS)
+    cells = [(i, j) for i in range(p) for j in range(i + 1)]
     median = lambda c: F.percentile_approx(c, 0.5, 1000)
     center = written(stats.groupBy("grp").agg(*[median(c).alias(f"m{i}") for i, c in enumerate(STATS)]), "mcd-center")
-    spread = stats.join(center, "grp").groupBy("grp").agg(
+    spread = stats.join(_small(center), "grp").groupBy("grp").agg(
         *[F.first(f"m{i}").alias(f"m{i}") for i in range(p)], *[median(F.abs(F.col(c) - F.col(f"m{i}"))).alias(f"s{i}") for i, c in enumerate(STATS)]
     )
-    start = spread.select("grp", *[f"m{i}" for i in range(p)], *[((1.4826 * F.col(f"s{i}")) ** 2 + FLOOR[i] ** 2 if i == j else F.lit(0.0)).alias(_cell(i, j)) for i in range(p) for j in range(i + 1)])
-    est = written(_inverse_root(start), "mcd-0")
-    for step in range(1, STEPS + 1):
-        far = stats.join(est, "grp").select("grp", *STATS, _distance().alias("d2"))
-        limit = written(far.groupBy("grp").agg(F.percentile_approx("d2", SUBSET, 1000).alias("limit"), F.count("*").alias("n_all")), f"mcd-limit-{step}")
-        inner = far.join(limit, "grp").where(F.col("d2") <= F.col("limit"))
-        est = _estimate(inner, F.col("d2") < F.col("limit"), F.col("n_all") * SUBSET, CONSISTENT, f"mcd-{step}")
-    far = stats.join(est, "grp").select("grp", *STATS, _distance().alias("d2"))
-    return _estimate(far.where(F.col("d2") <= INNER), F.lit(True), F.lit(0.0), INNER_CONSISTENT, "mcd-reweighted")
+    scaled = written(spread.withColumns({f"s{i}": F.sqrt((1.4826 * F.col(f"s{i}")) ** 2 + FLOOR[i] ** 2) for i in range(p)}), "mcd-scale")
+    z = stats.join(_small(scaled), "grp").select("grp", *[((F.col(c) - F.col(f"m{i}")) / F.col(f"s{i}")).alias(f"z{i}") for i, c in enumerate(STATS)])
+    z = z.withColumn("norm", F.greatest(sum((F.col(f"z{i}") ** 2 for i in range(p)), F.lit(0.0)), F.lit(1e-12)))
+    forms = {1: lambda i: F.tanh(f"z{i}"), 2: lambda i: F.col(f"z{i}") / F.sqrt("norm")}
+    found = written(z.groupBy("grp").agg(*[F.avg(f(i) * f(j)).alias(f"t{k}_{i}{j}") for k, f in forms.items() for i, j in cells]), "mcd-shapes").join(scaled, "grp")
+    def linked(k: int, i: int, j: int) -> Column:  # off the diagonal a little less, so that the matrix stays positive
+        return 0.95 * F.col(f"t{k}_{i}{j}") / F.sqrt(F.greatest(F.col(f"t{k}_{i}{i}") * F.col(f"t{k}_{j}{j}"), F.lit(1e-12)))
+
+    def start(k: int) -> DataFrame:
+        shape = {(i, j): F.lit(1.0) if i == j else linked(k, i, j) if k else F.lit(0.0) for i, j in cells}
+        return found.select("grp", F.lit(k).alias("start"), *[f"m{i}" for i in range(p)], *[(shape[i, j] * F.col(f"s{i}") * F.col(f"s{j}")).alias(_cell(i, j)) for i, j in cells])
+
+    return start(0).unionByName(start(1)).unionByName(start(2))
+
+
+def fit(stats: DataFrame) -> DataFrame:
+    """MCD estimates by ``grp``: mean ``m``, covariance ``c`` and number of documents ``n``, written to the shared folder."""
+    p = len(STATS)
+    cells = [_cell(i, j) for i in range(p) for j in range(i + 1)]
+    est = written(_inverse_root(_starts(stats)), "mcd-start")
+    ended, first = [], True
+    while True:
+        by = _small(est)
+        far = stats.join(by, "grp").select(*KEYS, *STATS, _distance().alias("d2"))
+        limit = written(far.groupBy(*KEYS).agg(F.percentile_approx("d2", SUBSET, 1000).alias("limit"), F.count("*").alias("n_all")), "mcd-limit")
+        inner = far.join(_small(limit), list(KEYS)).where(F.col("d2") <= F.col("limit"))
+        new = _inverse_root(_moments(inner, F.col("d2") < F.col("limit"), F.col("n_all") * SUBSET, CONSISTENT))
+        before = est.select(*KEYS, F.col("logdet").alias("before"))
+        new = written(new.join(before, list(KEYS)).withColumn("falls", F.lit(first) | (F.col("logdet") < F.col("before") - LEAST_FALL)), "mcd-step")
+        ended.append(est.join(new.where("NOT falls").select(*KEYS), list(KEYS), "left_semi"))
+        est, first = new.where("falls").drop("before", "falls"), False
+        if not est.take(1):
+            break
+    best = functools.reduce(DataFrame.unionByName, ended)
+    row = F.struct("logdet", "start", *[c for c in best.columns if c[0] in "mr"])
+    best = written(best.groupBy("grp").agg(F.min(row).alias("b")).select("grp", "b.*"), "mcd-best")
+    far = stats.join(_small(best), "grp").select("grp", *STATS, _distance().alias("d2"))
+    shaped = _moments(far.where(F.col("d2") <= INNER), F.lit(True), F.lit(0.0), INNER_CONSISTENT, ("grp",))
+    return written(shaped.join(stats.groupBy("grp").agg(F.count("*").alias("n")), "grp").select("grp", "n", *[f"m{i}" for i in range(p)], *cells), "mcd")
+
+
+def _drawn(own: DataFrame, pool: DataFrame, groups: DataFrame) -> DataFrame:
+    """Each group's estimate drawn towards its language's, as rows of the inverse root with the limit on the distance."""
+    p = len(STATS)
+    named = pool.select(F.col("grp").alias("pool"), F.col("n").alias("p_n"), *[F.col(c).alias(f"p_{c}") for c in pool.columns if c[0] in "mc"])
+    both = own.join(groups, "grp").join(named, "pool").withColumn("w", F.col("n") / (F.col("n") + SHRINK))
+    off = {i: F.col(f"m{i}") - F.col(f"p_m{i}") for i in range(p)}
+    mixed = both.select(
+        "grp", "p_n", *[(F.col("w") * F.col(f"m{i}") + (1 - F.col("w")) * F.col(f"p_m{i}")).alias(f"m{i}") for i in range(p)],
+        *[(F.col("w") * F.col(_cell(i, j)) + (1 - F.col("w")) * F.col(f"p_{_cell(i, j)}") + F.col("w") * (1 - F.col("w")) * off[i] * off[j]).alias(_cell(i, j)) for i in range(p) for j in range(i + 1)],
+    )
+    return _inverse_root(mixed.withColumn("limit", CUTOFF * (1 + (FEW / F.col("p_n")) ** 2)), ("grp", "limit"))
 
 
 def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """Per document its counts, ``base_failed``, the squared robust distance ``d2`` and ``kept``."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.to_json(F.struct(F.col(lang).alias("lang"))).alias("pool"), F.to_json(F.struct(F.col(lang).alias("lang"), F.col(source).alias("source"))).alias("own"))
-    stats = written(counts(rows, "text", ("doc_id", "pool", "own")), "quality")
-    # a group has at least LEAST documents, so the join with its estimate is small; Spark checks sizes before it broadcasts
-    small = written(stats.where(~F.col("base_failed")).groupBy("own").agg(F.count("*").alias("n_own")), "quality-sources")
-    stats = written(stats.join(small, "own", "left").withColumn("grp", F.when(F.col("n_own") >= LEAST, F.col("own")).otherwise(F.concat(F.lit("pool "), F.col("pool")))).drop("own", "pool", "n_own"), "quality-groups")
+    pool = F.concat(F.lit("language "), F.to_json(F.struct(F.col(lang).alias("lang"))))
+    own = F.concat(F.lit("source "), F.to_json(F.struct(F.col(lang).alias("lang"), F.col(source).alias("source"))))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), pool.alias("pool"), own.alias("grp"))
+    stats = written(counts(rows, "text", ("doc_id", "pool", "grp")), "quality")
     fitted = stats.where(~F.col("base_failed"))
-    enough = fitted.groupBy("grp").agg(F.count("*").alias("n_grp")).where(F.col("n_grp") >= LEAST)
-    est = written(fit(fitted).join(enough, "grp"), "mcd")
-    judged = stats.join(est, "grp", "left").withColumn("d2", _distance())
-    return judged.withColumn("kept", ~F.col("base_failed") & (F.coalesce("d2", F.lit(0.0)) <= CUTOFF))
+    groups = written(fitted.select("grp", "pool").distinct(), "quality-groups")
+    levels = fitted.select(F.explode(F.array("grp", "pool")).alias("grp"), *STATS)  # each document counts for its source and its language
+    mcd = fit(levels)
+    est = written(_drawn(mcd.join(groups.select("grp"), "grp", "left_semi"), mcd, groups), "mcd-drawn")
+    judged = stats.join(_small(est), "grp", "left").withColumn("d2", _distance())
+    return judged.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("d2") <= F.col("limit"), F.lit(True)))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
