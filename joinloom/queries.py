@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import json
 from collections.abc import Callable
 
 from py4j.protocol import Py4JJavaError
@@ -11,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .catalog import Catalog, load
-from .engine import Context, prefiltered
-from .functions.predicates import Compare
+from .engine import Context, destroy_context, prefiltered, run_suite
+from .functions.predicates import Compare, fnv1a
 from .operators.verify import difference, in_order, printed, same
 from .plans.explain import tree_of
 from .plans.order import build, run_sql
@@ -20,9 +21,10 @@ from .plans.plan import Plan
 from .plans.sql import bind, parse
 from .sources.cache import answer, cached, save_answer
 from .sources.csv import read_csv, write_csv
-from .sources.memory import from_rows
+from .sources.memory import from_duckdb, from_rows
 from .sources.shared import fresh_path
-from .types import Attribute, CsvError, DataType
+from .types import Attribute, CsvError, DataType, EngineError
+from .workload import import_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "documents")
@@ -220,6 +222,96 @@ def csv_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(out, "case string, n_rows long")
 
 
+def _lookup(table: str, column: int, kind: DataType, keys: list[int], names: list[str], kept: tuple[int, DataType]) -> Query:
+    """Keys in memory against a table: the build side is the small one."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        plan = Plan()
+        a = plan.new_scan_node(plan.new_input(from_rows(spark, [(k,) for k in keys], [kind])), [(0, kind)])
+        b = plan.new_scan_node(plan.new_input(spark.read.parquet(f"{sf_dir}/{table}.parquet")), [(column, kind), kept])
+        plan.new_join_node(True, a, b, 0, 0, [(0, kind), (2, kept[1])])
+        return plan.to_dataframe(guided=True, names=names)
+
+    return run
+
+
+def duckdb_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Another engine's result as a source, joined in a plan."""
+    import duckdb
+    from pyspark.sql import types as T
+
+    schema = T.StructType([T.StructField("regionkey", T.IntegerType()), T.StructField("label", T.StringType())])
+    labels = from_duckdb(spark, duckdb.connect(), "SELECT i::INTEGER, 'region ' || i FROM range(1, 4) t(i)", schema)
+    plan = Plan()
+    a = plan.new_scan_node(plan.new_input(labels), [(0, I32), (1, STR)])
+    b = plan.new_scan_node(plan.new_input(spark.read.parquet(f"{sf_dir}/nation.parquet")), [(2, I32), (1, STR)])
+    plan.new_join_node(True, a, b, 0, 0, [(1, STR), (3, STR)])
+    return plan.to_dataframe(names=["label", "n_name"])
+
+
+def table_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table is made once a session, however often plans ask for it."""
+    context, made = Context(spark), []
+    get = lambda: context.tables.get("supplier", lambda: made.append(1) or spark.read.parquet(f"{sf_dir}/supplier.parquet"))
+    rows = [run_sql("SELECT s_suppkey FROM supplier WHERE s_acctbal > 0", {"supplier": get()}).count() for _ in range(2)]
+    destroy_context(context)
+    return spark.createDataFrame([(rows[0], rows[1], len(made))], "first long, second long, made int")
+
+
+def import_all_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CSV files of several tables, loaded by their catalog."""
+    folder, names = fresh_path(spark, "import"), ("region", "nation", "supplier")
+    tables = load(spark, sf_dir, names)
+    for t, df in tables.items():
+        write_csv(df, f"{folder}/csv/{t}.csv")
+    loaded = import_tables(spark, f"{folder}/csv", f"{folder}/parquet", Catalog.of_frames(tables))
+    return run_sql("SELECT r.r_name, n.n_name, s.s_suppkey, s.s_acctbal FROM region r, nation n, supplier s WHERE r.r_regionkey = n.n_regionkey AND n.n_nationkey = s.s_nationkey", loaded)
+
+
+SUITE = {"sql_directory": "sql", "names": ["guided", "scan"], "plans": [GUIDED, {"Plan": {"Node Type": "Seq Scan", "Relation Name": "region"}}]}
+SUITE_SQL = {"sql/guided.sql": GUIDED_SQL, "sql/scan.sql": "SELECT MIN(r.r_name) AS x FROM region r WHERE r.r_regionkey > 2"}
+
+
+def suite_runner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A suite in its plans' join orders against answers that are kept: the second run must not ask for them again."""
+    context, tables, answers, asked = Context(spark), load(spark, sf_dir, ("region", "nation", "supplier")), fresh_path(spark, "suite"), []
+
+    def expected(name: str, text: str) -> DataFrame:
+        asked.append(name)
+        rows = run_sql(text, tables, mode="rows")
+        return rows.toDF(*[f"c{i}" for i in range(len(rows.columns))])
+
+    runs = [run_suite(context, json.dumps(SUITE), SUITE_SQL.__getitem__, tables, expected=expected, answers=answers) for _ in range(2)]
+    destroy_context(context)
+    return spark.createDataFrame([(r.name, r.correct, asked.count(r.name)) for r in runs[1]], "name string, correct boolean, asked int")
+
+
+REFUSED = (
+    "SELECT COUNT(n_name) FROM nation", "SELECT n_name FROM nation GROUP BY n_name", "SELECT * FROM nation", "SELECT 1 FROM nation", "SELECT n_nationkey + 1 FROM nation",
+    "SELECT DISTINCT n_name FROM nation", "SELECT n_name FROM nation ORDER BY n_name", "SELECT n_name FROM nation WHERE n_nationkey = 'x'", "SELECT n_name FROM nation",
+)
+
+
+def refused_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What lies outside the grammar is refused before anything runs; the last text is inside."""
+    catalog, out = Catalog.of_frames(load(spark, sf_dir, ("nation",))), []
+    for text in REFUSED:
+        try:
+            bind(text, catalog)
+            out.append((text, False))
+        except EngineError:
+            out.append((text, True))
+    return spark.createDataFrame(out, "text string, refused boolean")
+
+
+def predicate_print(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicates as text, and the hash that names them."""
+    query = bind("SELECT p_name FROM part WHERE p_size > 10 AND (p_name LIKE 'a%' OR NOT (p_brand = 'it''s'))", Catalog.of_frames(load(spark, sf_dir, ("part",))))
+    text = next(iter(query.filters.values())).pretty()
+    hashes = [str(fnv1a(x)) for x in ("", "a", "foobar")]
+    return spark.createDataFrame([("predicate", text), *((f"hash {i}", h) for i, h in enumerate(hashes))], "name string, shown string")
+
+
 def memory_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return from_rows(spark, [(1, 10, 0.5, "a"), (None, None, None, None), (2, 20, 1.5, "")], [I32, I64, F64, STR])
 
@@ -268,6 +360,15 @@ OTHERS: dict[str, tuple[Query, str | None]] = {
     "cache_roundtrip": (cache_roundtrip, "SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer WHERE c_mktsegment = 'BUILDING'"),
     "cache_prefiltered": (cache_prefiltered, " UNION ALL ".join(f"SELECT l_linenumber, count(*) AS n, {i}::INTEGER AS query FROM lineitem {w} GROUP BY l_linenumber" for i, w in enumerate(("WHERE l_partkey = l_suppkey", "", "WHERE l_partkey = l_suppkey")))),
     "csv_strict": (csv_strict, "SELECT 'whole' AS \"case\", count(*) AS n_rows FROM nation UNION ALL SELECT 'open', NULL UNION ALL SELECT 'ragged', NULL"),
+    "lookup_point": (_lookup("orders", 0, I64, list(range(100)) + list(range(10**9, 10**9 + 100)), ["o_orderkey", "o_orderstatus"], (2, STR)), "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey BETWEEN 0 AND 99"),
+    "lookup_multimap": (_lookup("lineitem", 1, I64, [1, 2, 3, 3], ["l_partkey", "l_orderkey"], (0, I64)), "SELECT l_partkey, l_orderkey FROM lineitem, (VALUES (1), (2), (3), (3)) k(x) WHERE l_partkey = x"),
+    "lookup_sparse": (_lookup("orders", 0, I64, [10**12 + i for i in range(100)], ["o_orderkey", "o_orderstatus"], (2, STR)), "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey > 1000000000000"),
+    "duckdb_source": (duckdb_source, "SELECT 'region ' || n_regionkey AS label, n_name FROM nation WHERE n_regionkey BETWEEN 1 AND 3"),
+    "table_cache": (table_cache, "SELECT count(*) AS first, count(*) AS second, 1::INTEGER AS made FROM supplier WHERE s_acctbal > 0"),
+    "import_all_tables": (import_all_tables, "SELECT r_name, n_name, s_suppkey, s_acctbal FROM region, nation, supplier WHERE r_regionkey = n_regionkey AND n_nationkey = s_nationkey"),
+    "suite_runner": (suite_runner, "SELECT unnest(['guided', 'scan']) AS name, true AS correct, 1::INTEGER AS asked"),
+    "refused_sql": (refused_sql, " UNION ALL ".join("SELECT '" + t.replace("'", "''") + f"' AS text, {'false' if t == REFUSED[-1] else 'true'} AS refused" for t in REFUSED)),
+    "predicate_print": (predicate_print, "SELECT * FROM (VALUES ('predicate', '[AND]\n  4 > 10\n  [OR]\n    1 LIKE ''a%''\n    [NOT]\n      2 = ''it\\''s'''), ('hash 0', '14695981039346656037'), ('hash 1', '12638187200555641996'), ('hash 2', '9625390261332436968')) t(name, shown)"),
     "memory_source": (memory_source, "SELECT * FROM (VALUES (1::INTEGER, 10::BIGINT, 0.5::DOUBLE, 'a'), (NULL, NULL, NULL, NULL), (2, 20, 1.5, '')) t(c0, c1, c2, c3)"),
     "verify_compare": (verify_compare, "SELECT n_nationkey, CASE n_nationkey WHEN 3 THEN 1::BIGINT ELSE 1::BIGINT END AS n_left, CASE n_nationkey WHEN 3 THEN 0::BIGINT ELSE 2::BIGINT END AS n_right, true AS copy_equal FROM nation WHERE n_nationkey IN (3, 4)"),
     "golden_answer": (golden_answer, "SELECT 0::BIGINT AS different"),
