@@ -203,18 +203,59 @@ def test_embeddings_far_range_and_empty(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], VECTORS)).count() == 0
 
 
-def test_recall_near_the_threshold():
-    """Pairs at cosine 0.9 exactly, the hardest ones."""
-    rng = np.random.default_rng(1)
-    x = rng.normal(size=(1500, 64))
+def _at_cosine(n, d, cosine, seed):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, d))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     u = rng.normal(size=x.shape)
     u -= (u * x).sum(1, keepdims=True) * x
     u /= np.linalg.norm(u, axis=1, keepdims=True)
-    y = 0.9 * x + math.sqrt(1 - 0.81) * u
+    cosine = np.broadcast_to(cosine, n)[:, None]
+    return x, cosine * x + np.sqrt(1 - cosine**2) * u
+
+
+@pytest.mark.parametrize("d", [64, 100, 128, 256, 768])
+def test_recall_near_the_threshold(d):
+    """Pairs at cosine 0.9 exactly, the hardest ones, at any dimension."""
+    x, y = _at_cosine(1500, d, 0.9, 1)
     p, q = embeddings.hashes(x), embeddings.hashes(y)
     met = (p == q[:, :1]).any(1) | (q == p[:, :1]).any(1)
-    assert met.mean() >= 0.9, met.mean()
+    near = np.bitwise_count(embeddings.signs(x) ^ embeddings.signs(y)).sum(1) <= embeddings.most_apart(0.9)
+    assert near.mean() > 0.998 and (met & near).mean() >= 0.92, (near.mean(), met.mean())
+
+
+def test_recall_end_to_end(spark):
+    """Pairs at 0.9 to 0.95 planted in a copy of the given table."""
+    table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    own = np.array([r.embedding for r in table.collect()])
+    _, y = _at_cosine(300, own.shape[1], 0.0, 3)
+    x = own[:300] / np.linalg.norm(own[:300], axis=1, keepdims=True)
+    y -= (x * y).sum(1, keepdims=True) * x
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    c = np.linspace(0.9001, 0.95, 300)[:, None]
+    planted = [(100_000 + i, v.tolist(), 0) for i, v in enumerate((c * x + np.sqrt(1 - c**2) * y).astype(np.float32))]
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(own.astype(np.float32))] + planted
+    got = rows_of(embeddings.near_duplicates(spark.createDataFrame(rows, VECTORS).repartition(4)), "vec_id", "n_links", "component_id")
+    s = _plain_links([r[1] for r in rows])
+    assert s.sum() >= 600
+    found, there = sum(n for n, _ in got.values()), int(s.sum())
+    assert 0.93 * there <= found <= there
+    assert np.mean([got[100_000 + i][1] == i for i in range(300)]) >= 0.9
+
+
+@pytest.mark.parametrize("chunk", [7, 4096])
+def test_links_count_once_for_both(spark, monkeypatch, chunk):
+    """Counts are those of the pairs that meet, whoever asks, and don't depend on chunks."""
+    monkeypatch.setattr(embeddings, "CHUNK", chunk)
+    x, y = _at_cosine(80, 32, np.linspace(0.85, 0.99, 80), 5)
+    vectors = np.concatenate((x, y)).astype(np.float32)
+    got = rows_of(embeddings.near_duplicates(spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(vectors)], VECTORS).repartition(3)), "vec_id", "n_links")
+    unit = embeddings._units(vectors)
+    p = embeddings.hashes(unit)
+    met = (p[:, None, :] == p[None, :, :1]).any(2)
+    few = np.bitwise_count(embeddings.signs(unit)[:, None] ^ embeddings.signs(unit)[None]).sum(2) <= embeddings.most_apart(0.9)
+    links = _plain_links(vectors) & (met | met.T) & few
+    assert [got[i][0] for i in range(160)] == links.sum(1).tolist()
 
 
 # --- pipeline -------------------------------------------------------------------------------------------------
