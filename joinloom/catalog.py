@@ -9,29 +9,29 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .types import Attribute, DataType, EngineError
 
-# Tables of the IMDB schema; ! means not null, types are int unless :s (string) follows.
+# Tables of the IMDB schema.
 IMDB = """
-aka_name: id! person_id! name:s! imdb_index:s name_pcode_cf:s name_pcode_nf:s surname_pcode:s md5sum:s
-aka_title: id! movie_id! title:s! imdb_index:s kind_id! production_year phonetic_code:s episode_of_id season_nr episode_nr note:s md5sum:s
-cast_info: id! person_id! movie_id! person_role_id note:s nr_order role_id!
-char_name: id! name:s! imdb_index:s imdb_id name_pcode_nf:s surname_pcode:s md5sum:s
-comp_cast_type: id! kind:s!
-company_name: id! name:s! country_code:s imdb_id name_pcode_nf:s name_pcode_sf:s md5sum:s
-company_type: id! kind:s!
-complete_cast: id! movie_id subject_id! status_id!
-info_type: id! info:s!
-keyword: id! keyword:s! phonetic_code:s
-kind_type: id! kind:s!
-link_type: id! link:s!
-movie_companies: id! movie_id! company_id! company_type_id! note:s
-movie_info: id! movie_id! info_type_id! info:s! note:s
-movie_info_idx: id! movie_id! info_type_id! info:s! note:s
-movie_keyword: id! movie_id! keyword_id!
-movie_link: id! movie_id! linked_movie_id! link_type_id!
-name: id! name:s! imdb_index:s imdb_id gender:s name_pcode_cf:s name_pcode_nf:s surname_pcode:s md5sum:s
-person_info: id! person_id! info_type_id! info:s! note:s
-role_type: id! role:s!
-title: id! title:s! imdb_index:s kind_id! production_year imdb_id phonetic_code:s episode_of_id season_nr episode_nr series_years:s md5sum:s
+CREATE TABLE aka_name (id integer NOT NULL, person_id integer NOT NULL, name text NOT NULL, imdb_index text, name_pcode_cf text, name_pcode_nf text, surname_pcode text, md5sum text);
+CREATE TABLE aka_title (id integer NOT NULL, movie_id integer NOT NULL, title text NOT NULL, imdb_index text, kind_id integer NOT NULL, production_year integer, phonetic_code text, episode_of_id integer, season_nr integer, episode_nr integer, note text, md5sum text);
+CREATE TABLE cast_info (id integer NOT NULL, person_id integer NOT NULL, movie_id integer NOT NULL, person_role_id integer, note text, nr_order integer, role_id integer NOT NULL);
+CREATE TABLE char_name (id integer NOT NULL, name text NOT NULL, imdb_index text, imdb_id integer, name_pcode_nf text, surname_pcode text, md5sum text);
+CREATE TABLE comp_cast_type (id integer NOT NULL, kind text NOT NULL);
+CREATE TABLE company_name (id integer NOT NULL, name text NOT NULL, country_code text, imdb_id integer, name_pcode_nf text, name_pcode_sf text, md5sum text);
+CREATE TABLE company_type (id integer NOT NULL, kind text NOT NULL);
+CREATE TABLE complete_cast (id integer NOT NULL, movie_id integer, subject_id integer NOT NULL, status_id integer NOT NULL);
+CREATE TABLE info_type (id integer NOT NULL, info text NOT NULL);
+CREATE TABLE keyword (id integer NOT NULL, keyword text NOT NULL, phonetic_code text);
+CREATE TABLE kind_type (id integer NOT NULL, kind text NOT NULL);
+CREATE TABLE link_type (id integer NOT NULL, link text NOT NULL);
+CREATE TABLE movie_companies (id integer NOT NULL, movie_id integer NOT NULL, company_id integer NOT NULL, company_type_id integer NOT NULL, note text);
+CREATE TABLE movie_info (id integer NOT NULL, movie_id integer NOT NULL, info_type_id integer NOT NULL, info text NOT NULL, note text);
+CREATE TABLE movie_info_idx (id integer NOT NULL, movie_id integer NOT NULL, info_type_id integer NOT NULL, info text NOT NULL, note text);
+CREATE TABLE movie_keyword (id integer NOT NULL, movie_id integer NOT NULL, keyword_id integer NOT NULL);
+CREATE TABLE movie_link (id integer NOT NULL, movie_id integer NOT NULL, linked_movie_id integer NOT NULL, link_type_id integer NOT NULL);
+CREATE TABLE name (id integer NOT NULL, name text NOT NULL, imdb_index text, imdb_id integer, gender text, name_pcode_cf text, name_pcode_nf text, surname_pcode text, md5sum text);
+CREATE TABLE person_info (id integer NOT NULL, person_id integer NOT NULL, info_type_id integer NOT NULL, info text NOT NULL, note text);
+CREATE TABLE role_type (id integer NOT NULL, role text NOT NULL);
+CREATE TABLE title (id integer NOT NULL, title text NOT NULL, imdb_index text, kind_id integer NOT NULL, production_year integer, imdb_id integer, phonetic_code text, episode_of_id integer, season_nr integer, episode_nr integer, series_years text, md5sum text);
 """
 
 
@@ -68,16 +68,6 @@ def _kind(spark_type) -> DataType | None:
         return None
 
 
-def imdb() -> Catalog:
-    out = Catalog()
-    for line in IMDB.strip().splitlines():
-        table, _, columns = line.partition(":")
-        out.tables[table] = [
-            Attribute(c.rstrip("!").removesuffix(":s"), DataType.VARCHAR if ":s" in c else DataType.INT32, not c.endswith("!")) for c in columns.split()
-        ]
-    return out
-
-
 _DDL_TYPES = (
     (r"bigint|int8", DataType.INT64), (r"int(eger|4)?|smallint", DataType.INT32), (r"double( precision)?|float8?|real", DataType.FP64),
     (r"(character varying|varchar|char|character)(\s*\(\s*\d+\s*\))?|text|string", DataType.VARCHAR),
@@ -102,5 +92,9 @@ def from_ddl(text: str) -> Catalog:
     return out
 
 
+def imdb() -> Catalog:
+    return from_ddl(IMDB)
+
+
 def load(spark: SparkSession, folder: str, names: tuple[str, ...]) -> dict[str, DataFrame]:
     return {n: spark.read.parquet(f"{folder}/{n}.parquet") for n in names}
