@@ -21,6 +21,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.shared import fresh_path, shared_dir  # noqa: F401
@@ -71,6 +72,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return made
 
 
+#: Rows of a table of a few numbers each that may be broadcast.
+SMALL_ROWS = 20_000
+
+
+def small(table: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if it has few rows: its other side then isn't dealt out anew."""
+    return F.broadcast(table) if table.count() <= SMALL_ROWS else table
+
+
 def unused(name: str, columns: list[str]) -> str:
     """``name``, made longer until no column has it."""
     have = {c.lower() for c in columns}

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import read_table, ship, written
+from .common import read_table, ship, small, written
 
 MOST = 3
 WEIGHTS = (1, 2, 3)
@@ -175,15 +175,15 @@ def plan(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text:
     rows = written(docs.select(*_rows(docs, doc_id, source, text), size.alias("size")), "mix-sizes")
     sources = written(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"))), "mix-targets")
     units = rows.groupBy("doc_id", "source", "key").agg(F.sum("size").alias("size"))
-    # one row a source: Spark broadcasts it if it is small, by its size, and else splits hot sources
-    units = units.alias("u").join(sources.alias("t"), F.col("u.source").eqNullSafe(F.col("t.source"))).select("u.doc_id", "u.source", "u.key", "u.size", "t.s", "t.source_size", "t.target")
+    # one row a source: broadcast if they are few; else adaptive execution splits hot sources
+    units = units.alias("u").join(small(sources).alias("t"), F.col("u.source").eqNullSafe(F.col("t.source"))).select("u.doc_id", "u.source", "u.key", "u.size", "t.s", "t.source_size", "t.target")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     unit = F.concat_ws(" ", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "key")
     units = units.withColumn("whole", F.floor(ratio)).withColumn("x", ratio - F.floor(ratio)).withColumn("uid", F.xxhash64("doc_id", "s", "key")).withColumn("unit", unit)
     units = written(units, "mix-units")
     undecided = (F.col("x") > 0) & (F.col("x") < 1)
-    counts = units.where(undecided).groupBy("s").agg(F.count("*").alias("n"))
-    state = units.where(undecided).join(counts, "s").withColumn("block", F.pmod("uid", F.ceil(F.col("n") / BLOCK))).select("s", "block", "uid", "unit", "size", "x")
+    counts = written(units.where(undecided).groupBy("s").agg(F.count("*").alias("n")), "mix-counts")
+    state = units.where(undecided).join(small(counts), "s").withColumn("block", F.pmod("uid", F.ceil(F.col("n") / BLOCK))).select("s", "block", "uid", "unit", "size", "x")
     blocks = -(-(counts.agg(F.max("n")).first()[0] or 0) // BLOCK)
     together, decided = max(2, BLOCK // (OPEN + 2)), []
     while True:

@@ -19,7 +19,7 @@ A group's estimate is drawn towards its language's by the weight n / (n + ``SHRI
 judged mostly by its language, one of many by itself, and nothing depends on a least size.  The limit on the squared
 distance is ``CUTOFF`` * (1 + (``FEW`` / n)^2) for n documents of the language: a handful of documents reject nothing.
 
-Estimates are small tables written to the shared folder between steps.  Those of at most ``MOST_GROUPS`` rows, which
+Estimates are small tables written to the shared folder between steps.  Those of at most ``SMALL_ROWS`` rows, which
 are counted, are broadcast; larger ones are joined by Spark's own choice.  Documents never move except as rows of a dozen
 numbers, and aggregates are partial before they shuffle, so a source with a third of all rows is no harder than any other.
 
@@ -34,7 +34,7 @@ import functools
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, written
+from .common import read_table, small, written
 
 STATS = ("length", "symbols", "lines", "repeats", "capitals")
 FLOOR = (0.08, 0.05, 0.20, 0.20, 0.08)
@@ -47,7 +47,6 @@ INNER_CONSISTENT = 0.975 / 0.92370
 #: A step that lowers the logarithm of the determinant by less ends a start.
 LEAST_FALL = 1e-3
 SHRINK, FEW = 40, 20
-MOST_GROUPS = 20_000
 #: The 0.99999 quantile of chi-squared with five degrees of freedom.
 CUTOFF = 30.86
 SYMBOLS = "[#*$%&|<>]"
@@ -101,11 +100,6 @@ def counts(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id
 KEYS = ("grp", "start")
 
 
-def _small(table: DataFrame) -> DataFrame:
-    """A written table, to be broadcast if it has few rows."""
-    return F.broadcast(table) if table.count() <= MOST_GROUPS else table
-
-
 def _cell(i: int, j: int) -> str:
     return f"c{max(i, j)}{min(i, j)}"
 
@@ -153,11 +147,11 @@ def _starts(stats: DataFrame) -> DataFrame:
     cells = [(i, j) for i in range(p) for j in range(i + 1)]
     median = lambda c: F.percentile_approx(c, 0.5, 1000)
     center = written(stats.groupBy("grp").agg(*[median(c).alias(f"m{i}") for i, c in enumerate(STATS)]), "mcd-center")
-    spread = stats.join(_small(center), "grp").groupBy("grp").agg(
+    spread = stats.join(small(center), "grp").groupBy("grp").agg(
         *[F.first(f"m{i}").alias(f"m{i}") for i in range(p)], *[median(F.abs(F.col(c) - F.col(f"m{i}"))).alias(f"s{i}") for i, c in enumerate(STATS)]
     )
     scaled = written(spread.withColumns({f"s{i}": F.sqrt((1.4826 * F.col(f"s{i}")) ** 2 + FLOOR[i] ** 2) for i in range(p)}), "mcd-scale")
-    z = stats.join(_small(scaled), "grp").select("grp", *[((F.col(c) - F.col(f"m{i}")) / F.col(f"s{i}")).alias(f"z{i}") for i, c in enumerate(STATS)])
+    z = stats.join(small(scaled), "grp").select("grp", *[((F.col(c) - F.col(f"m{i}")) / F.col(f"s{i}")).alias(f"z{i}") for i, c in enumerate(STATS)])
     z = z.withColumn("norm", F.greatest(sum((F.col(f"z{i}") ** 2 for i in range(p)), F.lit(0.0)), F.lit(1e-12)))
     forms = {1: lambda i: F.tanh(f"z{i}"), 2: lambda i: F.col(f"z{i}") / F.sqrt("norm")}
     found = written(z.groupBy("grp").agg(*[F.avg(f(i) * f(j)).alias(f"t{k}_{i}{j}") for k, f in forms.items() for i, j in cells]), "mcd-shapes").join(scaled, "grp")
@@ -178,10 +172,10 @@ def fit(stats: DataFrame) -> DataFrame:
     est = written(_inverse_root(_starts(stats)), "mcd-start")
     ended, first = [], True
     while True:
-        by = _small(est)
+        by = small(est)
         far = stats.join(by, "grp").select(*KEYS, *STATS, _distance().alias("d2"))
         limit = written(far.groupBy(*KEYS).agg(F.percentile_approx("d2", SUBSET, 1000).alias("limit"), F.count("*").alias("n_all")), "mcd-limit")
-        inner = far.join(_small(limit), list(KEYS)).where(F.col("d2") <= F.col("limit"))
+        inner = far.join(small(limit), list(KEYS)).where(F.col("d2") <= F.col("limit"))
         new = _inverse_root(_moments(inner, F.col("d2") < F.col("limit"), F.col("n_all") * SUBSET, CONSISTENT))
         before = est.select(*KEYS, F.col("logdet").alias("before"))
         new = written(new.join(before, list(KEYS)).withColumn("falls", F.lit(first) | (F.col("logdet") < F.col("before") - LEAST_FALL)), "mcd-step")
@@ -192,7 +186,7 @@ def fit(stats: DataFrame) -> DataFrame:
     best = functools.reduce(DataFrame.unionByName, ended)
     row = F.struct("logdet", "start", *[c for c in best.columns if c[0] in "mr"])
     best = written(best.groupBy("grp").agg(F.min(row).alias("b")).select("grp", "b.*"), "mcd-best")
-    far = stats.join(_small(best), "grp").select("grp", *STATS, _distance().alias("d2"))
+    far = stats.join(small(best), "grp").select("grp", *STATS, _distance().alias("d2"))
     shaped = _moments(far.where(F.col("d2") <= INNER), F.lit(True), F.lit(0.0), INNER_CONSISTENT, ("grp",))
     return written(shaped.join(stats.groupBy("grp").agg(F.count("*").alias("n")), "grp").select("grp", "n", *[f"m{i}" for i in range(p)], *cells), "mcd")
 
@@ -221,7 +215,7 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     levels = fitted.select(F.explode(F.array("grp", "pool")).alias("grp"), *STATS)  # each document counts for its source and its language
     mcd = fit(levels)
     est = written(_drawn(mcd.join(groups.select("grp"), "grp", "left_semi"), mcd, groups), "mcd-drawn")
-    judged = stats.join(_small(est), "grp", "left").withColumn("d2", _distance())
+    judged = stats.join(small(est), "grp", "left").withColumn("d2", _distance())
     return judged.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("d2") <= F.col("limit"), F.lit(True)))
 
 
