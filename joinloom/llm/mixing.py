@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import read_table, ship, small, written
+from .common import discard, read_table, ship, small, written
 
 MOST = 3
 WEIGHTS = (1, 2, 3)
@@ -185,11 +185,12 @@ def plan(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text:
     counts = written(units.where(undecided).groupBy("s").agg(F.count("*").alias("n")), "mix-counts")
     state = units.where(undecided).join(small(counts), "s").withColumn("block", F.pmod("uid", F.ceil(F.col("n") / BLOCK))).select("s", "block", "uid", "unit", "size", "x")
     blocks = -(-(counts.agg(F.max("n")).first()[0] or 0) // BLOCK)
-    together, decided = max(2, BLOCK // (OPEN + 2)), []
+    together, decided, flights = max(2, BLOCK // (OPEN + 2)), [], []
     while True:
         last = blocks <= 1
         # a join by source has dealt the rows by source alone; blocks of one source go to different tasks
         flown = written(state.repartition("s", "block").groupBy("s", "block").applyInPandas(_land if last else _fly, _STATE), "mix-flight")
+        flights.append(flown)
         decided.append(flown.where("NOT open"))
         if last:
             break
@@ -198,6 +199,7 @@ def plan(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text:
     chosen = functools.reduce(DataFrame.unionByName, decided).select("s", "uid", "unit", F.col("x").cast("long").alias("chosen"))
     copies = F.col("whole") + F.coalesce("chosen", F.lit(0))
     taken = written(units.join(chosen, ["s", "uid", "unit"], "left").select("doc_id", "source", "key", "source_size", "target", copies.alias("copies")), "mix-taken")
+    discard(units, sources, counts, *flights)
     out = rows.alias("r").join(taken.alias("t"), _same("r", "t"))
     return out.select("r.doc_id", "r.source", "r.key", "r.size", "t.source_size", "t.target", "t.copies", (F.col("t.copies") * F.col("r.size")).alias("taken"))
 

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Hashes, arrow, mix, pieces, read_table, ship, utf8, written
+from .common import Hashes, arrow, discard, mix, pieces, read_table, ship, utf8, written
 
 LENGTH = 100
 SHORT = 32
@@ -386,18 +386,19 @@ def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     digests = written(arrow(rows, _digest, _DIGEST), "digests")
     first = written(digests.groupBy("digest").agg(F.min("doc").alias("first"), F.count("*").alias("n")), "firsts")
     copies = digests.join(first.where("n > 1"), "digest").where(F.col("doc") != F.col("first")).select("doc", F.lit(True).alias("copy"))
-    left = _left(arrow(rows.select("text"), _find, _ANCHOR), "anchors-32")
-    ranks = left.groupBy("doc").agg(F.collect_set("rank").alias("ranks")).withColumnRenamed("doc", "digest")
-    packed = arrow(rows, _pack, _PACKED)
+    left_32 = _left(arrow(rows.select("text"), _find, _ANCHOR), "anchors-32")
+    ranks = left_32.groupBy("doc").agg(F.collect_set("rank").alias("ranks")).withColumnRenamed("doc", "digest")
     # only the first document of each digest goes on
-    ranked = packed.join(written(ranks.join(first, "digest").select(F.col("first").alias("doc"), "ranks"), "ranks-32"), "doc")
-    left = _left(arrow(ranked.select("doc", "packed", "size", "ranks"), _find_again, _ANCHOR), "anchors-64")
-    hot = left.groupBy("rank").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("rank", F.col("rank").alias("hot"))
-    ranks = written(left.join(hot, "rank", "left").groupBy("doc").agg(F.collect_set("rank").alias("ranks"), F.collect_set("hot").alias("hot")), "ranks-64")
-    ranked = arrow(packed.join(ranks, "doc").select("doc", "packed", "size", "ranks", "hot"), _rank, _RANKED)
+    ranks_32 = written(ranks.join(first, "digest").select(F.col("first").alias("doc"), "ranks"), "ranks-32")
+    packed = arrow(rows, _pack, _PACKED)
+    left_64 = _left(arrow(packed.join(ranks_32, "doc").select("doc", "packed", "size", "ranks"), _find_again, _ANCHOR), "anchors-64")
+    hot = left_64.groupBy("rank").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("rank", F.col("rank").alias("hot"))
+    ranks_64 = written(left_64.join(hot, "rank", "left").groupBy("doc").agg(F.collect_set("rank").alias("ranks"), F.collect_set("hot").alias("hot")), "ranks-64")
+    ranked = arrow(packed.join(ranks_64, "doc").select("doc", "packed", "size", "ranks", "hot"), _rank, _RANKED)
     later = arrow(ranked.repartition("rank").sortWithinPartitions("rank", "doc", "off"), _later, _RUN)
     runs = later.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("runs"))
     fate = written(runs.withColumn("copy", F.lit(False)).unionByName(copies.withColumn("runs", F.lit(None).cast(runs.schema["runs"].dataType)).select("doc", "runs", "copy")), "runs")
+    discard(digests, first, left_32, ranks_32, left_64, ranks_64)
     result = arrow(packed.join(fate, "doc", "left").select("doc", "packed", "size", "runs", "copy"), _remove, _RESULT)
     if several:
         result = result.join(times.withColumnRenamed("doc", "doc_id"), "doc_id", "left").withColumn("again", F.explode(F.sequence(F.lit(1), F.coalesce("times", F.lit(1)).cast("int")))).drop("again", "times")
