@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Hashes, arrow, discard, mix, pieces, read_table, ship, utf8, written
+from .common import Hashes, arrow, discard, mix, pieces, read_table, ship, small, utf8, written
 
 LENGTH = 100
 SHORT = 32
@@ -221,7 +221,7 @@ def _runs_of(row: np.ndarray, start: np.ndarray, apart: np.ndarray | None = None
     return np.append(np.flatnonzero(np.append(True, new if apart is None else new | apart)), len(start))
 
 
-def _rank(batches: Iterator[pa.RecordBatch], length: int = LENGTH) -> Iterator[pa.RecordBatch]:
+def _rank(batches: Iterator[pa.RecordBatch], length: int = LENGTH, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Rows (doc, packed text, size, ranks at 64 bytes that repeat, those of many places): the starts with such an anchor."""
     for whole in batches:
         held: list[tuple[np.ndarray, ...]] = []
@@ -242,27 +242,33 @@ def _rank(batches: Iterator[pa.RecordBatch], length: int = LENGTH) -> Iterator[p
             names = Hashes(data, _OTHER_BASE).every(length)[starts]
             row = np.searchsorted(at, starts, "right") - 1
             held.append((h[anchor], batch.column(0).to_numpy()[row], (starts - at[row]).astype(np.int32), (anchor - starts).astype(np.int32), names, _among(hot, h[anchor])))
-        if not held:
-            continue
-        rank, doc, off, before, names, hot = (np.concatenate(x) for x in zip(*held, strict=True))
-        key = mix(rank * _U(0x9E3779B97F4A7C15) + before.astype(_U)) ^ mix(names + _U(1))
-        first = np.zeros(len(key), bool)
-        first[np.unique(key, return_index=True)[1]] = True  # rows are in order, so it is the earliest
-        # what repeats within the batch is known: runs, dealt by anything
-        again = np.flatnonzero(~first)
-        if len(again):
-            cut = _runs_of(doc[again], off[again].astype(np.int64))
-            begin = again[cut[:-1]]
-            deal = mix(doc[begin].view(_U) + off[begin].astype(_U)).view(np.int64)
-            yield _ranked(deal, doc[begin], off[begin], -np.diff(cut).astype(np.int32), np.zeros(0, _U), np.zeros(len(begin) + 1, np.int32))
-        few, many = np.flatnonzero(first & ~hot), np.flatnonzero(first & hot)
-        if len(few):
-            anchor = off[few].astype(np.int64) + before[few]
-            cut = _runs_of(doc[few], off[few].astype(np.int64), anchor[1:] != anchor[:-1])
-            begin = few[cut[:-1]]
-            yield _ranked(rank[begin].view(np.int64), doc[begin], off[begin], before[begin], names[few], cut * NAME)
-        if len(many):
-            yield _ranked(key[many].view(np.int64), doc[many], off[many], before[many], names[many], np.arange(len(many) + 1) * NAME)
+            if sum(len(x[0]) for x in held) >= most:
+                yield from _combined(held)
+                held = []
+        if held:
+            yield from _combined(held)
+
+
+def _combined(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+    """``_RANKED`` rows of starts in order: the earliest of equal ones go on, the others are known to be repeated."""
+    rank, doc, off, before, names, hot = (np.concatenate(x) for x in zip(*held, strict=True))
+    key = mix(rank * _U(0x9E3779B97F4A7C15) + before.astype(_U)) ^ mix(names + _U(1))
+    first = np.zeros(len(key), bool)
+    first[np.unique(key, return_index=True)[1]] = True
+    again = np.flatnonzero(~first)
+    if len(again):  # runs, dealt by anything
+        cut = _runs_of(doc[again], off[again].astype(np.int64))
+        begin = again[cut[:-1]]
+        deal = mix(doc[begin].view(_U) + off[begin].astype(_U)).view(np.int64)
+        yield _ranked(deal, doc[begin], off[begin], -np.diff(cut).astype(np.int32), np.zeros(0, _U), np.zeros(len(begin) + 1, np.int32))
+    few, many = np.flatnonzero(first & ~hot), np.flatnonzero(first & hot)
+    if len(few):
+        anchor = off[few].astype(np.int64) + before[few]
+        cut = _runs_of(doc[few], off[few].astype(np.int64), anchor[1:] != anchor[:-1])
+        begin = few[cut[:-1]]
+        yield _ranked(rank[begin].view(np.int64), doc[begin], off[begin], before[begin], names[few], cut * NAME)
+    if len(many):
+        yield _ranked(key[many].view(np.int64), doc[many], off[many], before[many], names[many], np.arange(len(many) + 1) * NAME)
 
 
 def _ranked(rank: np.ndarray, doc: np.ndarray, off: np.ndarray, before: np.ndarray, names: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
@@ -392,13 +398,13 @@ def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     ranks_32 = written(ranks.join(first, "digest").select(F.col("first").alias("doc"), "ranks"), "ranks-32")
     packed = arrow(rows, _pack, _PACKED)
     left_64 = _left(arrow(packed.join(ranks_32, "doc").select("doc", "packed", "size", "ranks"), _find_again, _ANCHOR), "anchors-64")
-    hot = left_64.groupBy("rank").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("rank", F.col("rank").alias("hot"))
-    ranks_64 = written(left_64.join(hot, "rank", "left").groupBy("doc").agg(F.collect_set("rank").alias("ranks"), F.collect_set("hot").alias("hot")), "ranks-64")
+    hot = written(left_64.groupBy("rank").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("rank", F.col("rank").alias("hot")), "hot")
+    ranks_64 = written(left_64.join(small(hot), "rank", "left").groupBy("doc").agg(F.collect_set("rank").alias("ranks"), F.collect_set("hot").alias("hot")), "ranks-64")
     ranked = arrow(packed.join(ranks_64, "doc").select("doc", "packed", "size", "ranks", "hot"), _rank, _RANKED)
     later = arrow(ranked.repartition("rank").sortWithinPartitions("rank", "doc", "off"), _later, _RUN)
     runs = later.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("runs"))
     fate = written(runs.withColumn("copy", F.lit(False)).unionByName(copies.withColumn("runs", F.lit(None).cast(runs.schema["runs"].dataType)).select("doc", "runs", "copy")), "runs")
-    discard(digests, first, left_32, ranks_32, left_64, ranks_64)
+    discard(digests, first, left_32, ranks_32, left_64, hot, ranks_64)
     result = arrow(packed.join(fate, "doc", "left").select("doc", "packed", "size", "runs", "copy"), _remove, _RESULT)
     if several:
         result = result.join(times.withColumnRenamed("doc", "doc_id"), "doc_id", "left").withColumn("again", F.explode(F.sequence(F.lit(1), F.coalesce("times", F.lit(1)).cast("int")))).drop("again", "times")
