@@ -9,7 +9,7 @@ transformed vector (log mean word length, roots of the shares of symbols, duplic
 It has three deterministic starts: medians and median absolute deviations; these with the correlations of the hyperbolic
 tangents of the standardised statistics; and with those of their spatial signs.  From each, concentration steps take the
 distances under the last estimate, their ``SUBSET`` quantile in each group and the mean and covariance of the documents
-below it, until the determinant falls no further; the start that ends with the smallest determinant is the group's.
+below it, until the determinant falls no further; after ``TRIED`` steps only the start with the smallest determinant goes on.
 Documents tied at the quantile share the weight that is left, so a group of copies never takes the subset beyond its
 half.  Last, the estimate is reweighted: mean and covariance of all documents within ``INNER``, as the half alone is
 narrow.  Up to nearly half of a group may be outliers.  ``FLOOR`` is added to the standard deviations: a statistic that
@@ -45,7 +45,9 @@ CONSISTENT = 0.5 / 0.26148
 INNER = 12.8325
 INNER_CONSISTENT = 0.975 / 0.92370
 #: A step that lowers the logarithm of the determinant by less ends a start.
-LEAST_FALL = 1e-3
+LEAST_FALL = 1e-2
+#: Steps that all starts take before only the best one goes on.
+TRIED = 2
 SHRINK, FEW = 40, 20
 #: The 0.99999 quantile of chi-squared with five degrees of freedom.
 CUTOFF = 30.86
@@ -124,21 +126,24 @@ def _distance() -> Column:
 
 
 def _moments(inner: DataFrame, below: Column, want: Column, factor: float, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """Mean and covariance times ``factor`` by ``keys``: rows ``below`` count one each, the others share what they leave of ``want``."""
+    """Mean and covariance times ``factor`` by ``keys``: rows ``below`` count one each, the others share what they leave of ``want``.
+
+    From plain sums, which stay in generated code: the statistics are of the order of one, and FLOOR is far above what is
+    lost in a difference of doubles.
+    """
     p = len(STATS)
     cells = [(i, j) for i in range(p) for j in range(i + 1)]
     sums = inner.groupBy(*keys, below.alias("below")).agg(
-        F.count("*").alias("n"), F.first(want).alias("want"), *[F.avg(c).alias(f"a{i}") for i, c in enumerate(STATS)], *[F.covar_pop(STATS[i], STATS[j]).alias(f"q{i}{j}") for i, j in cells]
+        F.count("*").alias("n"), F.max(want).alias("want"), *[F.sum(c).alias(f"a{i}") for i, c in enumerate(STATS)], *[F.sum(F.col(STATS[i]) * F.col(STATS[j])).alias(f"q{i}{j}") for i, j in cells]
     )
     side = lambda c, v: F.coalesce(F.max(F.when(F.col("below") == v, F.col(c))), F.lit(0.0))
     names = ["n", *[f"a{i}" for i in range(p)], *[f"q{i}{j}" for i, j in cells]]
     both = sums.groupBy(*keys).agg(F.max("want").alias("want"), *[side(c, v).alias(f"{c}_{k}") for c in names for k, v in ((1, True), (0, False))])
-    share = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("want") - F.col("n_1")) / F.greatest(F.col("n_0"), F.lit(1.0))))
-    both = both.withColumn("w_1", F.col("n_1").cast("double")).withColumn("w_0", F.col("n_0") * share).withColumn("w", F.col("w_1") + F.col("w_0")).where("w > 0")
-    both = both.withColumns({f"m{i}": sum((F.col(f"w_{k}") * F.col(f"a{i}_{k}") for k in (0, 1)), F.lit(0.0)) / F.col("w") for i in range(p)})
-    off = lambda i, k: F.col(f"a{i}_{k}") - F.col(f"m{i}")
-    spread = lambda i, j: sum((F.col(f"w_{k}") * (F.col(f"q{i}{j}_{k}") + off(i, k) * off(j, k)) for k in (0, 1)), F.lit(0.0)) / F.col("w")
-    return both.select(*keys, *[f"m{i}" for i in range(p)], *[(spread(i, j) * factor + (FLOOR[i] ** 2 if i == j else 0.0)).alias(_cell(i, j)) for i, j in cells])
+    both = both.withColumn("share", F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("want") - F.col("n_1")) / F.greatest(F.col("n_0"), F.lit(1.0)))))
+    whole = lambda c: F.col(f"{c}_1") + F.col("share") * F.col(f"{c}_0")
+    both = both.withColumn("w", whole("n")).where("w > 0").withColumns({f"m{i}": whole(f"a{i}") / F.col("w") for i in range(p)})
+    spread = lambda i, j: whole(f"q{i}{j}") / F.col("w") - F.col(f"m{i}") * F.col(f"m{j}")
+    return both.select(*keys, *[f"m{i}" for i in range(p)], *[((F.greatest(spread(i, j), F.lit(0.0)) if i == j else spread(i, j)) * factor + (FLOOR[i] ** 2 if i == j else 0.0)).alias(_cell(i, j)) for i, j in cells])
 
 
 def _starts(stats: DataFrame) -> DataFrame:
@@ -170,19 +175,23 @@ def fit(stats: DataFrame) -> DataFrame:
     p = len(STATS)
     cells = [_cell(i, j) for i in range(p) for j in range(i + 1)]
     est = written(_inverse_root(_starts(stats)), "mcd-start")
-    ended, first = [], True
-    while True:
-        by = small(est)
-        far = stats.join(by, "grp").select(*KEYS, *STATS, _distance().alias("d2"))
+    ended, step = [est.withColumn("falls", F.lit(False)).limit(0)], 0
+    while est.take(1):
+        far = stats.join(small(est), "grp").select(*KEYS, *STATS, _distance().alias("d2"))
         limit = written(far.groupBy(*KEYS).agg(F.percentile_approx("d2", SUBSET, 1000).alias("limit"), F.count("*").alias("n_all")), "mcd-limit")
         inner = far.join(small(limit), list(KEYS)).where(F.col("d2") <= F.col("limit"))
         new = _inverse_root(_moments(inner, F.col("d2") < F.col("limit"), F.col("n_all") * SUBSET, CONSISTENT))
         before = est.select(*KEYS, F.col("logdet").alias("before"))
-        new = written(new.join(before, list(KEYS)).withColumn("falls", F.lit(first) | (F.col("logdet") < F.col("before") - LEAST_FALL)), "mcd-step")
-        ended.append(est.join(new.where("NOT falls").select(*KEYS), list(KEYS), "left_semi"))
-        est, first = new.where("falls").drop("before", "falls"), False
-        if not est.take(1):
-            break
+        falls = F.lit(step == 0) | (F.col("logdet") < F.col("before") - LEAST_FALL)
+        new = written(new.join(before, list(KEYS)).withColumn("falls", falls), "mcd-step")
+        ended.append(est.join(new.where("NOT falls").select(*KEYS), list(KEYS), "left_semi").withColumn("falls", F.lit(False)))
+        est, step = new.where("falls").drop("before"), step + 1
+        if step == TRIED:  # only the best start of each group goes on
+            leading = functools.reduce(DataFrame.unionByName, [*ended, est])
+            row = F.struct("logdet", *[c for c in est.columns if c not in ("grp", "logdet")])
+            leading = written(leading.groupBy("grp").agg(F.min(row).alias("b")).select("grp", "b.*"), "mcd-leading")
+            ended, est = [leading.where("NOT falls")], leading.where("falls")
+        est = est.drop("falls")
     best = functools.reduce(DataFrame.unionByName, ended)
     row = F.struct("logdet", "start", *[c for c in best.columns if c[0] in "mr"])
     best = written(best.groupBy("grp").agg(F.min(row).alias("b")).select("grp", "b.*"), "mcd-best")

@@ -363,6 +363,56 @@ def test_quality_third_of_outliers(spark):
     assert [i for i, *_ in rows if got[i][0] == (5000 <= i < 7000)] == []
 
 
+def _mcd(x, floor, starts=200):
+    """A plain minimum-covariance-determinant estimate: many random starts, steps to the end, the least determinant."""
+    rng, n, best = np.random.default_rng(0), len(x), None
+    for k in range(starts):
+        pick = rng.choice(n, 12, replace=False)
+        mean, cov = x[pick].mean(0), np.cov(x[pick].T, bias=True) + np.diag(floor)
+        last = np.inf
+        while True:
+            d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+            inner = x[np.argsort(d, kind="stable")[: n // 2]]
+            mean, cov = inner.mean(0), np.cov(inner.T, bias=True) * quality.CONSISTENT + np.diag(floor)
+            det = np.linalg.slogdet(cov)[1]
+            if det >= last - 1e-9:
+                break
+            last = det
+        if best is None or det < best[0]:
+            best = (det, mean, cov)
+    det, mean, cov = best
+    d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+    inner = x[d <= quality.INNER]
+    return inner.mean(0), np.cov(inner.T, bias=True) * quality.INNER_CONSISTENT + np.diag(floor)
+
+
+def test_mcd_against_plain(spark):
+    """Correlated statistics, of which a third lie apart: the estimate is that of many random starts in numpy."""
+    rng = np.random.default_rng(3)
+    mix = np.eye(5) + 0.4 * rng.normal(size=(5, 5))
+    x = rng.normal(size=(400, 5)) @ mix
+    x[:130] = rng.normal(size=(130, 5)) * 3 + np.array([9.0, -7, 8, 0, 6])
+    rows = [("g", *map(float, r)) for r in x] + [("h", *map(float, r)) for r in x[130:200]]
+    df = spark.createDataFrame(rows, "grp string, " + ", ".join(f"{c} double" for c in quality.STATS))
+    found = {r.grp: r for r in quality.fit(df).collect()}
+    mean, cov = _mcd(x, np.array(quality.FLOOR) ** 2)
+    r = found["g"]
+    got = np.array([[r[quality._cell(i, j)] for j in range(5)] for i in range(5)])
+    assert r.n == 400 and found["h"].n == 70
+    assert np.abs(np.array([r[f"m{i}"] for i in range(5)]) - mean).max() < 0.15 and np.abs(got - cov).max() < 0.35
+    d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+    off = x - np.array([r[f"m{i}"] for i in range(5)])
+    mine = np.einsum("ij,jk,ik->i", off, np.linalg.inv(got), off)
+    assert ((mine > quality.CUTOFF) == (d > quality.CUTOFF)).mean() > 0.99 and (mine[:130] > quality.CUTOFF).all()
+
+
+def test_quality_clashing_columns(spark):
+    rows = [(i, prose(80, i), "en", f"s{i % 2}") for i in range(30)]
+    df = documents(spark, rows)
+    clash = df.withColumns({c: F.lit("x") for c in ("grp", "pool", "limit", "n_words", "kept", "start", "d2", "m0", "c00", "length", "a.b")})
+    assert rows_of(quality.judge(clash), "doc_id", "n_words", "kept") == rows_of(quality.judge(df), "doc_id", "n_words", "kept")
+
+
 def test_quality_runs_no_python(spark):
     plan = quality.judge(documents(spark, [(1, "a b")]).select("doc_id", "text", "lang", "source"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
