@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from joinloom.llm import bpe, language, minhash, mixing, secrets
-from joinloom.llm.common import read_table, written
+from joinloom.llm.common import discard, read_table, written
 
 #: A document goes if no language that it is like has this share of its letters.
 LEAST_SHARE = 0.4
@@ -58,7 +58,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    docs, before = read_table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(*before)  # what the stage has read
+        before = [docs]
     return docs

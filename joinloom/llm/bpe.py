@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import pieces, read_table, ship, utf8
+from .common import arrow, pieces, read_table, ship, utf8
 
 # --- automaton ------------------------------------------------------------------------------------------------
 
@@ -216,7 +216,8 @@ def _merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 class Coder:
     """Encodes and decodes by a file of ranks; the cache of merged pieces is bounded."""
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 24 << 20):
+        """``most``: bytes that the cache may take before it starts anew."""
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.vocabulary = [b""] * (max(self.ranks.values()) + 1)
@@ -226,6 +227,7 @@ class Coder:
         self.most = most
         self.names = list(map(str, range(len(self.vocabulary))))
         self.cache: dict[bytes, int] = {}
+        self.held = 0
 
         self.bytes_of = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
         pairs = {}
@@ -292,8 +294,8 @@ class Coder:
 
     def rows_of(self, parts: list[bytes]) -> np.ndarray:
         """The row of each piece in the cached ids (``flat`` from ``begin[row]`` to ``begin[row + 1]``)."""
-        if len(self.cache) > self.most:
-            self.cache = {}
+        if self.held > self.most:
+            self.cache, self.held = {}, 0
         cache = self.cache
         new = list(set(parts).difference(cache))
         if new:
@@ -305,6 +307,7 @@ class Coder:
             self.begin = np.concatenate((self.begin, self.begin[-1] + np.cumsum(sizes)))
             self.flat = np.concatenate((self.flat, np.fromiter(itertools.chain.from_iterable(found), np.int32, int(sizes.sum()))))
             cache.update(zip(new, range(old, old + len(new)), strict=True))
+            self.held += 130 * len(new) + sum(map(len, new)) + 4 * int(sizes.sum())  # an entry, its bytes and its ids
         return np.fromiter(map(cache.__getitem__, parts), np.int64, len(parts))
 
     def encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -345,6 +348,7 @@ def _path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+PIECE = 1 << 18
 MADE = [("token_ids", T.ArrayType(T.IntegerType())), ("token_ends", T.ArrayType(T.LongType())), ("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]
 
 
@@ -352,7 +356,7 @@ def _encode(batches: Iterator[pa.RecordBatch], name: str, text: str, keep: list[
     code = coder(name)
     for batch in batches:
         data, at = utf8(batch.column(batch.schema.get_field_index(text)))
-        for i, j in pieces(at):
+        for i, j in pieces(at, PIECE):  # the scans take some 100 bytes for each of text
             ids, ends = code.encode(data[at[i] : at[j]], at[i : j + 1])
             ends = ends.tolist()
             made = {"n_tokens": pa.array(np.diff(ends), pa.int64())}
@@ -376,7 +380,7 @@ def encode(docs: DataFrame, text: str = "text", vocabulary: str = "byte_bpe_50k.
     columns = list(dict.fromkeys([*names, text]))
     schema = T.StructType([docs.schema[c] for c in names] + [T.StructField(n, t) for n, t in MADE if n in want])
     want_in_order = [n for n, _ in MADE if n in want]
-    return docs.select(*columns).mapInArrow(lambda it: _encode(it, vocabulary, text, names, want_in_order), schema)
+    return arrow(docs.select(*columns), lambda it: _encode(it, vocabulary, text, names, want_in_order), schema)
 
 
 def _decode(batches: Iterator[pa.RecordBatch], name: str, ids: str, keep: list[str]) -> Iterator[pa.RecordBatch]:
@@ -392,7 +396,7 @@ def decode(tokens: DataFrame, ids: str = "token_ids", vocabulary: str = "byte_bp
     ship(tokens.sparkSession)
     keep = [c for c in tokens.columns if c != "decoded"]
     schema = T.StructType([tokens.schema[c] for c in keep] + [T.StructField("decoded", T.BinaryType())])
-    return tokens.mapInArrow(lambda it: _decode(it, vocabulary, ids, keep), schema)
+    return arrow(tokens, lambda it: _decode(it, vocabulary, ids, keep), schema)
 
 
 def digests(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

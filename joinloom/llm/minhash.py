@@ -25,9 +25,9 @@ are; so the weights are alike at every size, and the table may be broadcast.
 
 Every shuffle is of digests, samples or of the texts of candidates; nothing is collected but the sketch and a Bloom
 filter of bounded size, which keeps texts that are no candidates out of a shuffle.
-Texts without a word (null, empty, white space) and rows with a null doc_id are never duplicates.  Rows that share a
-doc_id are one document; if their texts differ, they take the smallest class of any, and the text of the smallest digest
-stands for the id in comparisons where it is the smallest of its text.  Extra columns pass through ``dedup`` and are ignored otherwise; clashing names don't matter.
+Texts without a word (null, empty, white space) and rows with a null doc_id are never duplicates.  A class holds texts:
+rows that share a doc_id and differ in their texts have the class of their own text each.  Extra columns, whatever
+their names, pass through ``dedup`` and are ignored otherwise.
 """
 
 from __future__ import annotations
@@ -137,32 +137,49 @@ def _bits(ids: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return (h & _U(size - 1)).astype(np.int64), ((h >> _U(32)) & _U(size - 1)).astype(np.int64)
 
 
-def _texts_of(named: DataFrame, ids: DataFrame, several: DataFrame | None) -> DataFrame:
-    """(id, text) of documents, all of ``ids`` among them: others pass a Bloom filter seldom."""
-    wanted = ids.count()
-    size = min(MOST_BITS, 1 << max(16, (16 * wanted).bit_length()))
+def _bloom(ids: DataFrame):
+    """A broadcast Bloom filter of ids (one column)."""
+    size = min(MOST_BITS, 1 << max(16, (16 * ids.count()).bit_length()))
 
     def fill(table: np.ndarray, batch: pa.RecordBatch) -> None:
         for at in _bits(batch.column(0).to_numpy(), size):
             np.bitwise_or.at(table, at >> 3, (1 << (at & 7)).astype(np.uint8))
 
-    bits, _ = total(ids, fill, size // 8, np.uint8, np.bitwise_or)
-    shared = named.sparkSession.sparkContext.broadcast(bits)
+    return ids.sparkSession.sparkContext.broadcast(total(ids, fill, size // 8, np.uint8, np.bitwise_or)[0])
+
+
+def _passing(rows: DataFrame, id_: str, bloom, passes: bool) -> DataFrame:
+    """The rows whose id passes the filter, or those that certainly aren't in it; ids aren't null."""
+    k = rows.columns.index(id_)
 
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = bloom.value
         for batch in batches:
             hit = np.ones(len(batch), bool)
-            for at in _bits(batch.column(0).to_numpy(), size):
-                hit &= (shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+            for at in _bits(batch.column(k).to_numpy(), 8 * len(bits)):
+                hit &= (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+            hit = hit == passes
             if hit.any():
                 yield batch.filter(pa.array(hit))
 
-    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("text", T.StringType())])
-    found = arrow(named.select(F.col("doc_id").alias("id"), "text"), some, schema)
-    if several is not None:  # ids repeat: the text that was sampled stands for one
-        found = found.withColumn("digest", F.unhex(F.md5("text"))).join(several, ["id", "digest"]).groupBy("id").agg(F.first("text").alias("text"))
+    return arrow(rows, some, rows.schema)
+
+
+def _texts_of(named: DataFrame, ids: DataFrame, several: DataFrame | None) -> DataFrame:
+    """(id, text) of documents, all of ``ids`` among them: others pass a Bloom filter seldom.
+
+    Where doc_ids repeat, ``several`` (id, doc, digest) says which text of which doc_id an id stands for.
+    """
+    rows = named.select(F.col("doc_id").alias("doc"), "text")
+    if several is None:
+        bloom = _bloom(ids)
+        found = _passing(rows, "doc", bloom, True).withColumnRenamed("doc", "id")
+    else:
+        wanted = written(ids.join(several, "id"), "wanted")
+        bloom = _bloom(wanted.select("doc").distinct())
+        found = _passing(rows, "doc", bloom, True).withColumn("digest", F.unhex(F.md5("text"))).join(wanted, ["doc", "digest"]).groupBy("id").agg(F.first("text").alias("text"))
     out = written(found, "candidates")
-    shared.destroy()
+    bloom.destroy()
     return out
 
 
@@ -519,20 +536,22 @@ def _between(members: DataFrame, reps: DataFrame, roots: DataFrame, named: DataF
     return links
 
 
-def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", agree: int = AGREE) -> DataFrame:
-    """Per row doc_id, class_id (smallest doc_id of its class) and kept (the class's smallest)."""
-    spark = docs.sparkSession
+def _classes(rows: DataFrame, agree: int) -> DataFrame:
+    """(doc_id, digest, class_id, times) by the different texts of each doc_id; rows without a doc_id are left out."""
+    spark = rows.sparkSession
     ship(spark)
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     named = rows.where(F.col("doc_id").isNotNull())
     idf = spark.sparkContext.broadcast(idf_table(rows))
     sampled = written(arrow(named, lambda it: _sample(it, idf.value), _SAMPLED), "samples")
     one_row = not sampled.groupBy("doc_id").count().where("count > 1").take(1)
-    reps = sampled.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("id"), *[F.first(c).alias(c) for c in ("samples", "bands", "size")])
-    every = reps = written(reps, "texts")
-    if not one_row:
-        reps = reps.withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy("digest"))).where("nth = 1").drop("nth")
-    several = None if one_row else reps.select("id", "digest")
+    reps = sampled.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("doc"), *[F.first(c).alias(c) for c in ("samples", "bands", "size")])
+    if one_row:
+        reps = reps.withColumn("id", F.col("doc"))
+    else:  # a doc_id names the first of its texts, hashes the others
+        nth = F.row_number().over(Window.partitionBy("doc").orderBy("digest"))
+        reps = reps.withColumn("id", F.when(nth == 1, F.col("doc")).otherwise(F.xxhash64("digest")))
+    reps = written(reps, "texts")
+    several = None if one_row else reps.select("id", "doc", "digest")
     banded = reps.select(F.explode("bands").alias("key"), "id")
     members = written(banded.join(banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"), "members")
 
@@ -544,12 +563,22 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", agree:
     joins = _between(members, reps, roots, named, several, idf, agree)
     roots = components(links.unionByName(joins).select("a", "b"))
 
-    found = every.select("digest", "id").join(roots.withColumnRenamed("v", "id"), "id", "left").select("digest", F.coalesce("root", "id").alias("class_id"))
-    grouped = sampled.select("doc_id", "digest").join(found, "digest", "left").groupBy("doc_id").agg(F.least(F.min("class_id"), F.col("doc_id")).alias("class_id"), F.count("*").alias("times"))
-    grouped = written(grouped, "classes")
+    found = reps.select("digest", "id", "doc").join(roots.withColumnRenamed("v", "id"), "id", "left").select("digest", "doc", F.coalesce("root", "id").alias("class_id"))
+    if not one_row:
+        least = found.groupBy("class_id").agg(F.min("doc").alias("least"))
+        found = found.join(least, "class_id").select("digest", F.col("least").alias("class_id"))
+    grouped = sampled.groupBy("doc_id", "digest").agg(F.count("*").alias("times")).join(found.select("digest", "class_id"), "digest", "left")
+    out = written(grouped.select("doc_id", "digest", F.coalesce("class_id", "doc_id").alias("class_id"), "times"), "classes")
     idf.destroy()
-    discard(sampled, every, members, links, joins)
-    one = grouped.select("doc_id", "class_id", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("doc_id", "class_id", (F.col("class_id") == F.col("doc_id")).alias("kept"))
+    discard(sampled, reps, members, links, joins)
+    return out
+
+
+def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", agree: int = AGREE) -> DataFrame:
+    """Per row doc_id, class_id (smallest doc_id of its text's class) and kept (the class's smallest)."""
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    one = _classes(rows, agree).select("doc_id", "class_id", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
+    one = one.select("doc_id", "class_id", (F.col("class_id") == F.col("doc_id")).alias("kept"))
     none = rows.where(F.col("doc_id").isNull()).select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(True).alias("kept"))
     return one.unionByName(none)
 
@@ -557,19 +586,24 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", agree:
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each class the smallest doc_id stays.
 
-    Rows that repeat doc_id and text (null and empty are one) stay once; a doc_id that stays keeps each of its different texts.
+    Rows that repeat doc_id and text (null and empty are one) stay once.
     """
-    found = classes(docs, doc_id, text)
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("jl_gone")).distinct()
-    named = docs.where(F.col(doc_id).isNotNull()).join(gone, F.col(doc_id) == F.col("jl_gone"), "left_anti")
-    again = written(found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("jl_again")), "again")
-    none = docs.where(F.col(doc_id).isNull())
-    if not again.take(1):
-        return named.unionByName(none)
-    same = F.col(doc_id) == F.col("jl_again")
-    order = Window.partitionBy(doc_id, F.coalesce(F.col(text), F.lit(""))).orderBy(F.col(text).asc_nulls_last(), F.xxhash64(*docs.columns))
-    several = named.join(again, same, "left_semi").withColumn("jl_nth", F.row_number().over(order)).where("jl_nth = 1").drop("jl_nth")
-    return named.join(again, same, "left_anti").unionByName(several).unionByName(none)
+    columns = [f"c{i}" for i in range(len(docs.columns))]
+    own, body = (columns[docs.columns.index(c)] for c in (doc_id, text))
+    rows = docs.toDF(*columns)  # columns of any name
+    found = _classes(rows.select(F.col(own).cast("long").alias("doc_id"), F.col(body).alias("text")), AGREE)
+    gone = written(found.where(F.col("class_id") != F.col("doc_id")).select(F.col("doc_id").alias("id"), "digest"), "gone")
+    again = written(found.groupBy("doc_id").agg(F.sum("times").alias("n")).where("n > 1").select(F.col("doc_id").alias("id")), "again")
+    named = rows.where(F.col(own).isNotNull()).withColumn("id", F.col(own).cast("long"))
+    # only rows that may be gone or repeat are shuffled
+    bloom = _bloom(gone.select("id").unionByName(again))
+    some = _passing(named, "id", bloom, True)
+    kept = _passing(named, "id", bloom, False).unionByName(some.join(gone.select("id").unionByName(again), "id", "left_anti").select(named.columns))
+    if again.take(1):
+        order = Window.partitionBy("id", F.coalesce(F.col(body), F.lit(""))).orderBy(F.col(body).asc_nulls_last(), F.xxhash64(*columns))
+        several = some.join(again, "id", "left_semi").withColumn("digest", F.unhex(F.md5(body))).join(gone, ["id", "digest"], "left_anti")
+        kept = kept.unionByName(several.withColumn("nth", F.row_number().over(order)).where("nth = 1").select(named.columns))
+    return kept.drop("id").unionByName(rows.where(F.col(own).isNull())).toDF(*docs.columns)
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -158,7 +158,7 @@ def targets(sizes: DataFrame) -> DataFrame:
     return ranked.select("source", "source_size", "s", "weight", target.alias("target"))
 
 
-def _rows(docs: DataFrame, doc_id: str, source: str, text: str) -> list:
+def _unit(doc_id: str, source: str, text: str) -> list:
     """Columns doc_id, source and ``key``, which tells rows without an id apart."""
     key = F.when(F.col(doc_id).isNull(), F.xxhash64(text)).otherwise(F.lit(0))
     return [F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), key.alias("key")]
@@ -172,7 +172,7 @@ def plan(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text:
     """Per row doc_id, source, key, size, source_size, target, copies and taken."""
     ship(docs.sparkSession)
     size = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long")
-    rows = written(docs.select(*_rows(docs, doc_id, source, text), size.alias("size")), "mix-sizes")
+    rows = written(docs.select(*_unit(doc_id, source, text), size.alias("size")), "mix-sizes")
     sources = written(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"))), "mix-targets")
     units = rows.groupBy("doc_id", "source", "key").agg(F.sum("size").alias("size"))
     # one row a source: broadcast if they are few; else adaptive execution splits hot sources
@@ -207,7 +207,7 @@ def plan(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text:
 def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that the mix takes, each as often as it takes it."""
     copies = plan(docs, doc_id, source, text).where(F.col("copies") > 0).groupBy("doc_id", "source", "key").agg(F.max("copies").alias("copies"))
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *_rows(docs, doc_id, source, text))  # columns of any name
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *_unit(doc_id, source, text))  # columns of any name
     rows = whole.alias("d").join(copies.alias("c"), _same("d", "c")).select("d.row", F.explode(F.sequence(F.lit(1), F.col("c.copies").cast("int"))))
     return rows.select("row.*")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import collections
 import hashlib
 import math
@@ -9,6 +10,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from joinloom.llm import components, embeddings, minhash, substrings
@@ -94,6 +96,47 @@ def test_minhash_awkward_rows(spark):
     assert minhash.classes(df.where("doc_id < 0")).count() == 0
 
 
+def test_minhash_clashing_columns_and_repeated_ids(spark):
+    """Rows that share a doc_id with different texts both stay; copies of either are found; columns may have any name."""
+    one, two, three = (prose(60, 40 + k) for k in range(3))
+    df = documents(spark, [(5, one), (5, two), (7, two), (8, _changed(one, 1, 3)), (9, three), (9, three), (3, _changed(two, 1, 5))])
+    clash = df.withColumns({c: F.lit(1) for c in ("id", "jl_gone", "samples", "key", "class_id", "kept", "a.b")})
+    kept = minhash.dedup(clash)
+    assert kept.columns == clash.columns
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted([(3, _changed(two, 1, 5)), (5, one), (9, three)])
+    got = sorted((r.doc_id, r.class_id, r.kept) for r in minhash.classes(clash).collect())
+    assert got == [(3, 3, True), (5, 3, False), (5, 5, True), (7, 3, False), (8, 5, False), (9, 9, True), (9, 9, True)]
+    again = documents(spark, [(5, one), (5, two), (9, three), (9, three)])
+    assert sorted((r.doc_id, r.text) for r in minhash.dedup(again).collect()) == sorted([(5, one), (5, two), (9, three)])
+
+
+def test_minhash_long_texts(spark):
+    """Texts above the size of a piece, one a near copy of the other."""
+    one = prose(200_000, 31)
+    rows = [(1, one), (2, _changed(one, 4000, 1)), (3, prose(200_000, 32)), (4, prose(50, 33))]
+    assert len(one) > 1 << 20
+    got = rows_of(minhash.classes(documents(spark, rows)), "doc_id", "class_id")
+    assert got == {1: (1,), 2: (1,), 3: (3,), 4: (4,)}
+
+
+def test_recall_at_the_threshold(spark):
+    """Pairs just above 0.8, with the production parameters and with all pairs that meet verified."""
+    rows, pairs = [], 0
+    for k in range(150):
+        base = prose(200, 5000 + k)
+        words = base.split(" ")
+        for i in range(20, 200, 50):  # each changes five of 196 shingles: about 0.81
+            words[i] = f"x{k}"
+        rows += [(2 * k, base), (2 * k + 1, " ".join(words))]
+    exact = {b for a, b in _similar([t for _, t in rows])}
+    assert len(exact) >= 100
+    for agree in (minhash.AGREE, 0):
+        got = rows_of(minhash.classes(documents(spark, rows), agree=agree), "doc_id", "class_id")
+        found = sum(got[b] == (b - 1,) for b in exact)
+        assert found >= 0.97 * len(exact), (found, len(exact))
+        assert all(got[i] == (i,) for i, _ in rows if i not in exact)
+
+
 def test_samples_agree_with_similarity():
     """The share of equal samples estimates the weighted Jaccard."""
     rng = np.random.default_rng(4)
@@ -149,7 +192,8 @@ def test_substrings_hot_anchors(spark, monkeypatch):
 
 def test_substrings_long_text(spark):
     """Texts above the size of a piece, repeating themselves and each other."""
-    one = prose(120_000, 21)
+    one = prose(200_000, 21)
+    assert len(one) > 1 << 20
     rows = [(1, one), (2, "x" + one[300_000:] + prose(50, 3)), (3, prose(40, 4))]
     got = rows_of(substrings.spans(documents(spark, rows)), "doc_id", "n_bytes", "n_removed", "n_spans")
     assert got[1][1:] == (0, 0) and got[3][1:] == (0, 0) and got[2][1:] == (len(one) - 300_000, 1)
@@ -279,6 +323,66 @@ def test_pipeline_on_awkward_rows(spark, data):
     assert empty.count() == 0
 
 
+def test_pipeline_against_plain_forms(spark):
+    """What each stage keeps, row by row, against plain forms of its operator."""
+    import public_tokenizers
+    import tiktoken
+
+    import corpus_pipeline
+    from joinloom.llm import mixing
+
+    latin, greek = "etaoinshrdlu", "αβγδεζηθικλμ"
+    clean = [(i, prose(80 + i % 9, i, latin), "aa", f"s{i % 3}") for i in range(90)] + [(100 + i, prose(80, 300 + i, greek), "bb", "s1") for i in range(40)]
+    near = [(200 + k, _changed(clean[k][1], 1, k), "aa", "s2") for k in range(12)] + [(220, clean[5][1], "aa", "s0"), (221, clean[5][1], "aa", "s0"), (1, clean[1][1], "aa", "s1")]
+    secret = [(300, prose(60, 900, latin) + " password=abcdefgh12 tail", "aa", "s0"), (301, prose(60, 901, latin) + " " + "0123456789abcdef" * 3, "aa", "s1")]
+    odd = [(400, "абв где жзи " * 30, None, "s0"), (401, None, "aa", "s0"), (402, "12 34 --", "aa", "s0"), (403, prose(30_000, 77, latin), "aa", None)]
+    docs, seen = documents(spark, clean + near + secret + odd, 5), {}
+    for name, stage in corpus_pipeline.STAGES:
+        before, docs = docs, stage(spark, docs, "").persist()
+        seen[name] = docs.collect()
+        if name != "tokens":
+            assert docs.columns == before.columns
+    ids = lambda name: sorted(r.doc_id for r in seen[name])
+    # language: what isn't in a learned language goes, clean documents stay
+    assert ids("language") == sorted(r[0] for r in clean + near + secret + odd[3:])
+    # near-duplicates: by all pairs
+    rows = sorted((r.doc_id, r.text) for r in seen["language"])
+    roots = union(len(rows), _similar([t for _, t in rows]) + [(i, i + 1) for i in range(len(rows) - 1) if rows[i][0] == rows[i + 1][0]])
+    assert ids("near_duplicates") == sorted({rows[r][0] for r in roots}) and len(ids("near_duplicates")) == len(clean) + len(secret) + 1
+    # secrets: the texts as they were but for the spans
+    was = {r.doc_id: r.text for r in seen["near_duplicates"]}
+    for r in seen["secrets"]:
+        want = was[r.doc_id].replace("password=abcdefgh12", "[ASSIGN]").replace("0123456789abcdef" * 3, "[HEX]")
+        assert r.text == want and r.n_chars == len(want)
+    # mixture: whole rows, so often that each source comes near its target and no document beyond three times
+    taken = collections.Counter((r.doc_id, r.text, r.source) for r in seen["mixture"])
+    there = {(r.doc_id, r.text, r.source) for r in seen["secrets"]}
+    assert set(taken) <= there and max(taken.values()) <= mixing.MOST
+    size = collections.Counter()
+    for _, t, s in there:
+        size[s] += len(WORD.findall(t))
+    names = sorted(x for x in size if x is not None) + [None]
+    cap, free, target = {x: 3 * size[x] for x in names}, set(names), {}
+    weight = {x: (1, 2, 3)[i % 3] for i, x in enumerate(names)}
+    while free:
+        level = (sum(size.values()) - sum(cap[x] for x in names if x not in free)) / sum(weight[x] for x in free)
+        over = {x for x in free if cap[x] < level * weight[x]}
+        target = {x: min(cap[x], level * weight[x]) for x in names}
+        if not over:
+            break
+        free -= over
+    got = collections.Counter()
+    for (_, t, s), n in taken.items():
+        got[s] += n * len(WORD.findall(t))
+    assert all(abs(got[x] - target[x]) <= 90 for x in names if x is not None), (got, target)
+    # tokens: by the tokenizer itself
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    theirs = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = collections.Counter(r.text for r in seen["mixture"])
+    assert collections.Counter(tuple(r.token_ids) for r in seen["tokens"]) == collections.Counter({tuple(theirs.encode_ordinary(t)): n for t, n in texts.items()})
+
+
 def test_registered():
     import __spark_entry__
 
